@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from divrec.runtime import partitions, require_columns, stage
 
+_NONE = int(np.iinfo(np.int64).min)  # no value yet
 PID, ORD, GRP = "_scan_pid", "_scan_ord", "_scan_grp"
 
 
@@ -53,6 +54,7 @@ def _scanner(groups: list[str], sums: dict[str, str], maxes: dict[str, str]):
                     starts[1:] |= _changed(col)
             if starts[0]:
                 carry = {}
+            # begin: where each run of one group starts in this batch; first: those that start a new group
             seg = np.cumsum(starts)
             first = np.flatnonzero(starts)
             begin = np.concatenate(([0], first)) if not starts[0] else first
@@ -68,7 +70,7 @@ def _scanner(groups: list[str], sums: dict[str, str], maxes: dict[str, str]):
                 carry[name] = int(out[name][-1])
             for name, src in maxes.items():
                 v = batch.column(batch.schema.get_field_index(src))
-                v = pc.fill_null(v.cast(pa.int64()), np.iinfo(np.int64).min).to_numpy(zero_copy_only=False).copy()
+                v = pc.fill_null(v.cast(pa.int64()), _NONE).to_numpy(zero_copy_only=False).copy()
                 if begin[0] == 0 and name in carry:
                     v[0] = max(v[0], carry[name])
                 # one running maximum over all segments: each segment works on its own slice
@@ -76,7 +78,9 @@ def _scanner(groups: list[str], sums: dict[str, str], maxes: dict[str, str]):
                 ends = np.concatenate((begin[1:], [n]))
                 for s, e in zip(begin, ends):
                     np.maximum.accumulate(v[s:e], out=res[s:e])
-                out[name] = res
+                earlier = np.concatenate(([carry[name] if begin[0] == 0 and name in carry else _NONE], res[:-1]))
+                earlier[first] = _NONE
+                out[name], out[f"{name}_before"] = res, earlier
                 carry[name] = int(res[-1])
             before = {g: batch.column(batch.schema.get_field_index(g)).slice(n - 1, 1) for g in groups}
             columns = list(batch.columns) + [
@@ -85,7 +89,7 @@ def _scanner(groups: list[str], sums: dict[str, str], maxes: dict[str, str]):
                 pa.array((grp + seg).astype(np.int64)),
             ]
             names = list(batch.schema.names) + [PID, ORD, GRP]
-            for name in (*sums, *maxes):
+            for name in (*sums, *maxes, *(f"{m}_before" for m in maxes)):
                 columns.append(pa.array(out[name]))
                 names.append(name)
             ordinal += n
@@ -107,7 +111,8 @@ def ordered_scan(
     """Running aggregates per group in the given order, each row included.
 
     ``sums`` and ``maxes`` map result columns to integer source columns (NULL
-    counts as 0, or is passed over); ``count`` names a running row number from
+    counts as 0, or is passed over); of a maximum m there is also ``m_before``,
+    over the earlier rows alone; ``count`` names a running row number from
     1. A running maximum before any value is NULL. ``order`` should be (nearly)
     unique within the group, so that even a group holding a third of all rows
     is spread over many partitions. NULL is a group of its own. An empty input
@@ -125,7 +130,7 @@ def ordered_scan(
     ranged = df.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys)
     schema = T.StructType(
         [*df.schema.fields, T.StructField(PID, T.IntegerType()), T.StructField(ORD, T.LongType()), T.StructField(GRP, T.LongType())]
-        + [T.StructField(n, T.LongType()) for n in (*sums, *maxes)]
+        + [T.StructField(n, T.LongType()) for n in (*sums, *maxes, *(f"{m}_before" for m in maxes))]
     )
     local = stage(ranged.mapInArrow(_scanner(groups, sums, maxes), schema), "scan")
 
@@ -164,9 +169,9 @@ def ordered_scan(
         for n in sums:
             local = local.withColumn(n, F.col(f"`{n}`") + F.coalesce(F.col(f"_carry_{n}"), F.lit(0)))
         for n in maxes:
-            local = local.withColumn(n, F.greatest(F.col(f"`{n}`"), F.col(f"_carry_{n}")))
-    none = np.iinfo(np.int64).min
-    fix = [F.when(F.col(f"`{n}`") > F.lit(int(none)), F.col(f"`{n}`")).alias(n) for n in maxes]
+            for m in (n, f"{n}_before"):
+                local = local.withColumn(m, F.greatest(F.col(f"`{m}`"), F.col(f"_carry_{n}")))
+    fix = [F.when(F.col(f"`{m}`") > F.lit(_NONE), F.col(f"`{m}`")).alias(m) for n in maxes for m in (n, f"{n}_before")]
     return local.select(*[F.col(f"`{c}`") for c in cols], *[F.col(f"`{n}`") for n in sums], *fix)
 
 
