@@ -126,8 +126,8 @@ ORACLES = {
  s AS (SELECT *, floor((sum(cost) OVER (PARTITION BY loc ORDER BY own_first, file_name ROWS UNBOUNDED PRECEDING) - cost) / {TARGET_BYTES}e0) AS out_file FROM q),
  f AS (SELECT loc, out_file, sum(bytes) AS b, sum(own) AS np FROM s GROUP BY 1, 2),
  a AS (SELECT loc, count(*) AS out_nfile, sum(b) AS out_totstoragesize, max(b) AS out_max, sum(np) AS copied_pairs FROM f GROUP BY 1)
- SELECT c.conn_id, {_LOC.format('c.loc')} AS loc, coalesce(b.nfile, 0) AS b.nfile, CAST(coalesce(b.totstoragesize, 0) AS BIGINT) AS b.totstoragesize, coalesce(b.n_known, 0) AS b.n_known,
-  round(b.totstoragesize / CAST(nullif(b.n_known, 0) AS DOUBLE), 4) AS mean_size, CAST(coalesce(b.n_pairs, 0) AS BIGINT) AS b.n_pairs, CAST(coalesce(copied_pairs, 0) AS BIGINT) AS copied_pairs,
+ SELECT c.conn_id, {_LOC.format('c.loc')} AS loc, coalesce(b.nfile, 0) AS nfile, CAST(coalesce(b.totstoragesize, 0) AS BIGINT) AS totstoragesize, coalesce(b.n_known, 0) AS n_known,
+  round(b.totstoragesize / CAST(nullif(b.n_known, 0) AS DOUBLE), 4) AS mean_size, CAST(coalesce(b.n_pairs, 0) AS BIGINT) AS n_pairs, CAST(coalesce(copied_pairs, 0) AS BIGINT) AS copied_pairs,
   coalesce(out_nfile, 0) AS out_nfile, CAST(coalesce(out_totstoragesize, 0) AS BIGINT) AS out_totstoragesize, CAST(coalesce(out_max, 0) AS BIGINT) AS out_max
  FROM conns c LEFT JOIN b ON {_LOC.format('c.loc')} = b.loc LEFT JOIN a ON b.loc = a.loc""",
     "p3_compact_roundtrip": """SELECT removed, count(*) AS n, CAST(sum(size_bytes) AS BIGINT) AS bytes, CAST(sum(n_pairs) AS BIGINT) AS pairs FROM conn_files GROUP BY 1""",
