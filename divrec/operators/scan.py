@@ -120,9 +120,15 @@ def ordered_scan(
     order among themselves.
     """
     sums, maxes = dict(sums or {}), dict(maxes or {})
-    require_columns(df, [*groups, *order])
+    require_columns(df, [*groups, *order, *sums.values(), *maxes.values()])
     spark = df.sparkSession
-    cols = list(df.columns)
+    # Inside, columns go by place: their own names may hold dots or be those used here.
+    given = list(df.columns)
+    cols = [f"c{i}" for i in range(len(given))]
+    inner = dict(zip(given, cols))
+    df = df.toDF(*cols)
+    groups, order = [inner[g] for g in groups], [inner[o] for o in order]
+    sums, maxes = {n: inner[c] for n, c in sums.items()}, {n: inner[c] for n, c in maxes.items()}
     if count:
         df = df.withColumn("_scan_one", F.lit(1).cast("bigint"))
         sums[count] = "_scan_one"
@@ -172,7 +178,7 @@ def ordered_scan(
             for m in (n, f"{n}_before"):
                 local = local.withColumn(m, F.greatest(F.col(f"`{m}`"), F.col(f"_carry_{n}")))
     fix = [F.when(F.col(f"`{m}`") > F.lit(_NONE), F.col(f"`{m}`")).alias(m) for n in maxes for m in (n, f"{n}_before")]
-    return local.select(*[F.col(f"`{c}`") for c in cols], *[F.col(f"`{n}`") for n in sums], *fix)
+    return local.select(*[F.col(c).alias(g) for g, c in inner.items()], *[F.col(f"`{n}`") for n in sums], *fix)
 
 
 def row_numbers(df: DataFrame, groups: list[str], order: list[str], name: str) -> DataFrame:

@@ -122,3 +122,15 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def grouped_pandas(df: DataFrame, key: str, run, schema) -> DataFrame:
+    """``applyInPandas`` per ``key`` for frames whose columns may have any name (dots, backticks)."""
+    names = list(df.columns)
+    at = names.index(key)
+
+    def named(pdf):
+        pdf.columns = names
+        return run(pdf)
+
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).groupBy(f"c{at}").applyInPandas(named, schema)
