@@ -287,7 +287,9 @@ def _frame(pair: Pair, split: Mapping[str, Any], names: Sequence[str] | None = N
     res.insert(0, KEY, pair.key)
     for i, (c, x) in enumerate(split.items(), 1):
         res.insert(i, c, [x] * len(res))
-    return res.reindex(columns=list(names)) if names is not None else res
+    if names is not None:
+        res = res.reindex(columns=list(names))
+    return res if len(res) else pd.DataFrame({c: pd.Series([], dtype=object) for c in res.columns})
 
 
 # -- construction ----------------------------------------------------------------------------------------------------

@@ -81,9 +81,8 @@ def read_table(
         types = [_infer([f[i] for f in fields if i < len(f)], dec, na) for i in range(width)]
     parts = _split_column(F.col("value"), sep, quote, len(names))
     rows = rows.withColumn("_f", parts)
-    n = F.size("_f")
-    bad = (n > len(names)) | (n < len(names) if not fill else F.lit(False))
-    rows = rows.withColumn("_f", F.when(bad, F.raise_error(F.concat(F.lit(f"not {len(names)} fields: "), F.col("value")))).otherwise(F.col("_f")))
+    bad = F.col("_f.long") | (F.col("_f.short") & F.lit(not fill))
+    rows = rows.withColumn("_f", F.when(bad, F.raise_error(F.concat(F.lit(f"not {len(names)} fields: "), F.col("value")))).otherwise(F.col("_f.fields")))
     missing = [*na, ""]
 
     def typed(i: int, t: T.DataType) -> F.Column:
@@ -114,18 +113,28 @@ def _split_line(line: str, sep: str, quote: str) -> list[str]:
 
 
 def _split_column(line: F.Column, sep: str, quote: str, width: int) -> F.Column:
-    """Fields of a line in the JVM."""
+    """``fields`` of a line, and whether it is too ``long`` or too ``short``; in the JVM."""
     if sep and len(sep) == 1:
-        schema = ", ".join(f"c{i} string" for i in range(width + 1))  # one more, to see lines that are too long
-        row = F.from_csv(line, schema, {"sep": sep, "quote": quote or "\u0000", "escape": quote or "\u0000", "mode": "PERMISSIVE", "nullValue": "\u0001", "emptyValue": ""})
-        return F.filter(F.array(*[row[f"c{i}"] for i in range(width + 1)]), lambda x: x.isNotNull())
+        options = {"sep": sep, "quote": quote or "\u0000", "escape": quote or "\u0000", "mode": "PERMISSIVE", "nullValue": "\u0001", "emptyValue": "", "columnNameOfCorruptRecord": "_corrupt"}
+        read = lambda n: F.from_csv(line, ", ".join([*(f"c{i} string" for i in range(n)), "_corrupt string"]), options)
+        exact, more = read(width), read(width + 1)
+        off = exact["_corrupt"].isNotNull()
+        loud = F.size(F.split(line, re.escape(sep), -1)) > width
+        if quote:
+            loud = loud & ~F.contains(line, F.lit(quote))
+        long = off & (more["_corrupt"].isNull() | more[f"c{width}"].isNotNull() | loud)
+        # the reader gives NULL for an empty field; a field that isn't there stays NULL
+        fields = F.array(*[F.coalesce(exact[f"c{i}"], F.when(~off, "")) for i in range(width)])
+        return F.struct(fields.alias("fields"), long.alias("long"), (off & ~long).alias("short"))
     if not sep and not quote:
-        return F.split(F.regexp_replace(line, r"^[ \t]+|[ \t]+$", ""), r"[ \t]+")
-    if not sep:  # a quoted field, doubled marks inside, or a run without blanks
+        parts = F.split(F.regexp_replace(line, r"^[ \t]+|[ \t]+$", ""), r"[ \t]+")
+    elif not sep:  # a quoted field, doubled marks inside, or a run without blanks
         q = re.escape(quote)
         found = F.regexp_extract_all(line, F.lit(rf"({q}(?:[^{q}]|{q}{q})*{q}|[^ \t]+)"), 1)
-        return F.transform(found, lambda x: F.when(x.startswith(quote), F.replace(F.regexp_replace(x, rf"^{q}|{q}$", ""), F.lit(quote * 2), F.lit(quote))).otherwise(x))
-    return F.split(line, re.escape(sep), -1)
+        parts = F.transform(found, lambda x: F.when(x.startswith(quote), F.replace(F.regexp_replace(x, rf"^{q}|{q}$", ""), F.lit(quote * 2), F.lit(quote))).otherwise(x))
+    else:
+        parts = F.split(line, re.escape(sep), -1)
+    return F.struct(parts.alias("fields"), (F.size(parts) > width).alias("long"), (F.size(parts) < width).alias("short"))
 
 
 def _infer(values: list[str], dec: str, na: Sequence[str]) -> T.DataType:
@@ -169,8 +178,8 @@ def read_text_chunks(
     """``fn(lines)`` (or ``fn(lines, header)``) on blocks of lines; a block whose result is None vanishes.
 
     The key is the block number, or ``key_fn`` of the block's text. With
-    ``record_end`` (a pattern) a record that is open at a block's last line goes
-    on in the same block. Blocks are numbered by a distributed sort; a task
+    ``record_end`` (a pattern) a record that is open at a block's last line is
+    carried over into the next block. Blocks are numbered by a distributed sort; a task
     holds one block at a time.
     """
     rows = _in_order(spark.read.text(path, recursiveFileLookup=True))
@@ -179,11 +188,11 @@ def read_text_chunks(
     rows = rows.where(F.col("_line") > skip + int(header)).drop("_line")
     if record_end is None:
         numbered = row_numbers(rows, [], _PLACE, "_n").withColumn("_block", F.floor((F.col("_n") - 1) / F.lit(lines_per_block)) + 1)
-    else:  # the block of a record is that of its first line
+    else:  # the block of a record is that of its last line
         ends = rows.withColumn("_end", F.col("value").rlike(record_end).cast("int"))
         numbered = ordered_scan(ends, [], _PLACE, sums={"_ended": "_end"}, count="_n").withColumn("_record", F.col("_ended") - F.col("_end"))
-        firsts = numbered.groupBy("_record").agg((F.floor((F.min("_n") - 1) / F.lit(lines_per_block)) + 1).alias("_block"))
-        numbered = numbered.join(firsts, "_record")
+        lasts = numbered.groupBy("_record").agg((F.floor((F.max("_n") - 1) / F.lit(lines_per_block)) + 1).alias("_block"))
+        numbered = numbered.join(lasts, "_record")
     kind = T.StructType([T.StructField(KEY, T.StringType()), *T._parse_datatype_string(schema).fields])
     work, name = _freeze(fn), (_freeze(key_fn) if key_fn else None)
 
