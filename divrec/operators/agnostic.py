@@ -112,8 +112,12 @@ def _with_tails(rows: DataFrame, res: DataFrame, groups: list[str], tails: int)
     from divrec.operators.scan import ordered_scan
 
     up = ordered_scan(rows.select(*groups, "_v"), groups, ["_v"], count="_rn")
-    sizes = up.groupBy(*groups).agg(F.max("_rn").alias("_n"))
-    join = lambda a: a.join(broadcast_if_small(sizes), [F.col(f"`{g}`") for g in []] or groups) if groups else a.join(F.broadcast(sizes))
+    if groups:
+        sizes = broadcast_if_small(up.groupBy(*groups).agg(F.max("_rn").alias("_n")))
+        join = lambda a: a.join(sizes, groups)
+    else:
+        n = up.count()
+        join = lambda a: a.withColumn("_n", F.lit(n))
     t = F.least(F.lit(tails), F.col("_n"))
     ranked = join(up)
     bottom = ranked.where(F.col("_rn") <= t).select(((F.col("_rn") - 1) / F.col("_n")).alias("fval"), F.col("_v").alias("q"), *groups)
@@ -315,3 +319,20 @@ def update_attributes(div: Division) -> Division:
             summary[c] = {"variable": c, "nna": df.where(F.col(f"`{c}`").isNull()).count(), "freqTable": [(r["value"], r["Freq"]) for r in levels], "complete": bool(levels and levels[0]["complete"])}
         new.update(summary=summary, vars={f.name: f.dataType.simpleString() for f in df.schema.fields})
     return replace(div, attrs={**div.attrs, **new}) if new else div
+
+
+def format_summary(div: Division, levels: int = 4) -> str:
+    """The summary attribute as text, one block per column: missing values, then range and moments, or the most frequent levels."""
+    summary = div.attrs.get("summary")
+    if not summary:
+        return "no summary is known; see update_attributes"
+    lines = []
+    for name, s in summary.items():
+        lines.append(f"{name}: {s['nna']} missing")
+        if "freqTable" in s:
+            lines += [f"  {v}: {n}" for v, n in s["freqTable"][:levels]]
+            if len(s["freqTable"]) > levels or not s["complete"]:
+                lines.append(f"  ... {len(s['freqTable'])} levels{'' if s['complete'] else ' of more'}")
+        else:
+            lines += [f"  {k}: {s[k]}" for k in ("min", "max", "mean", "var", "skewness", "kurtosis") if k in s]
+    return "\n".join(lines)

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Functions of this package travel to the executors whole, so it needn't be installed there.
+cloudpickle.register_pickle_by_value(sys.modules["divrec"])
+
 _STAGED: list[tuple[SparkSession, str]] = []
 
 #: Rows above which a side is never broadcast by ``broadcast_if_small``.

@@ -127,7 +127,7 @@ def _split_column(line: F.Column, sep: str, quote: str, width: int) -> F.Column:
         fields = F.array(*[F.coalesce(exact[f"c{i}"], F.when(~off, "")) for i in range(width)])
         return F.struct(fields.alias("fields"), long.alias("long"), (off & ~long).alias("short"))
     if not sep and not quote:
-        parts = F.split(F.regexp_replace(line, r"^[ \t]+|[ \t]+$", ""), r"[ \t]+")
+        parts = F.split(F.btrim(line, F.lit(" \t")), r"[ \t]+")
     elif not sep:  # a quoted field, doubled marks inside, or a run without blanks
         q = re.escape(quote)
         found = F.regexp_extract_all(line, F.lit(rf"({q}(?:[^{q}]|{q}{q})*{q}|[^ \t]+)"), 1)

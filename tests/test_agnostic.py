@@ -101,6 +101,8 @@ def test_update_attributes(spark):
     with pytest.raises(KeyError):
         div.get_attribute("none")
     assert ag.update_attributes(div).attrs == div.attrs
+    text = ag.format_summary(div)
+    assert "n: 1 missing" in text and "mean: 2.0" in text and "no summary" in ag.format_summary(ddf(div.df))
     assert ag.split_size_distn(div).first()["ndiv"] == 3
 
 

@@ -176,3 +176,11 @@ def test_join_keys_are_the_union(spark):
 def test_condition_specs():
     assert cond_div("a", ["b", "c"]).vars == ("a", "b", "c")
     assert "random" in repr(rr_div(10)) and "a, b" in repr(cond_div("a", "b"))
+
+
+def test_package_names():
+    import divrec
+
+    assert all(getattr(divrec, n) is not None for n in divrec.__all__)
+    with pytest.raises(AttributeError):
+        divrec.nothing
