@@ -109,9 +109,9 @@ def frequent_items(df: DataFrame, column: str, k: int = COUNTERS) -> DataFrame:
         parts = -(-parts // FANIN)
     candidates = stage(level.select("item", "est", "err"), "frequent")
     # At most k candidates: bounded by the parameter, so the broadcast is too.
-    total = values.agg(F.count(F.lit(1)).alias("total"))
+    total = values.count()
     exact = values.join(F.broadcast(candidates.select("item")), "item", "left_semi").groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    return candidates.join(F.broadcast(exact), "item").join(F.broadcast(total)).select("item", "est", "err", "n", "total")
+    return candidates.join(F.broadcast(exact), "item").select("item", "est", "err", "n", F.lit(total).cast("bigint").alias("total"))
 
 
 def frequency_table(df: DataFrame, column: str, top: int, k: int = COUNTERS) -> DataFrame:
