@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from divrec.operators.scan import ordered_scan, row_numbers
-from divrec.runtime import require_columns, stage
+from divrec.runtime import partitions, require_columns, stage
 
 #: Lengths are rounded up to this many leading binary digits: exact below 2**DIGITS, at most 2**(1 - DIGITS) too long above,
 #: and a histogram never has more than about 2**(DIGITS - 1) * (64 - DIGITS) bars, however many items there are.
@@ -149,7 +149,8 @@ def pack_items(items: DataFrame, jobs: DataFrame, *, job: str = "job_id", item:
     ranked = row_numbers(small.select("job_id", "fp", "length"), ["job_id", "length"], ["fp"], "_rank")
     histogram = small.groupBy(F.col("job_id").alias("job"), "length").agg(F.count(F.lit(1)).alias("items"), F.max("capacity").alias("capacity"))
     kind = rows.schema["job_id"].dataType.simpleString()
-    slots = histogram.groupBy("job").applyInPandas(
+    # an explicit number of partitions, which small bytes don't merge: packing costs time, not bytes
+    slots = histogram.repartition(partitions(rows.sparkSession), "job").groupBy("job").applyInPandas(
         _pack_group, f"job {kind}, length bigint, first bigint, take bigint, pack bigint, each bigint, skip bigint, pattern bigint"
     )
     # Patterns meet items by rank: each slot is one row, joined on the (nearly unique) rank, so no key is hot.
