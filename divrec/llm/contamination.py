@@ -12,15 +12,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from divrec.llm.text import word_spans, words
-from divrec.runtime import require_columns
+from divrec.runtime import fresh, require_columns
 
 #: Words of test items in one automaton; more items go in further blocks, each with a pass of its own over the documents.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 300_000
 MIN_WORDS = 10
 
 
@@ -164,10 +165,10 @@ def leaks(
     spark, out = docs.sparkSession, None
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     for automaton in item_blocks(items.select(item_id, item_text), min_words, block_words):
-        shared = spark.sparkContext.broadcast(automaton)  # bounded by block_words
+        shared = spark.sparkContext.broadcast(cloudpickle.dumps(automaton))  # bounded by block_words
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            auto = shared.value
+            auto = cloudpickle.loads(shared.value)
             for batch in batches:
                 ids, res = batch.column(0), []
                 for at, body in enumerate(batch.column(1).to_pylist()):
@@ -198,8 +199,6 @@ def decontaminate(
     ``drop``; all others ``keep``. Existing columns named coverage or verdict
     are not touched: the new ones get underscores appended.
     """
-    from divrec.runtime import fresh
-
     coverage, verdict = fresh(docs, "coverage"), fresh(docs, "verdict")
     spans = found.groupBy(F.col("doc_id").alias("_leak_id")).agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("_spans"))
     joined = docs.join(spans, F.col(doc_id) == F.col("_leak_id"), "left")

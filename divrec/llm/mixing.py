@@ -40,7 +40,7 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 
 def plain_source(source: Column) -> Column:
     """A source in lower case without blanks around; empty and missing are NULL."""
-    return F.nullif(F.lower(F.regexp_replace(source, r"^\s+|\s+$", "")), F.lit(""))
+    return F.nullif(F.lower(F.btrim(source, F.lit(" \t\r\n\u00a0"))), F.lit(""))
 
 
 def _load_tokenizer(path: str):
