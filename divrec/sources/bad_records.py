@@ -32,12 +32,12 @@ _CLASSES = {"numeric", "integer", "character", "logical", "Date", "POSIXct"}
 
 
 def _bare(field: Column) -> Column:
-    return F.regexp_replace(field, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+    return F.btrim(field, F.lit(" \t\r\n"))  # linear in the length of the field, unlike a pattern
 
 
 def value_fits(field: Column, kind: Column, dec: Column) -> Column:
-    """Whether a field, without blanks around it, is missing or fits its class; never NULL for a known class."""
-    v = _bare(F.coalesce(field, F.lit("")))
+    """Whether a field (bare of blanks around it, not NULL) is missing or fits its class; never NULL for a known class."""
+    v = field
     digits = F.regexp_replace(v, r"^[+-]?0*", "")
     foreign = (dec != ".") & F.contains(v, F.lit("."))
     number = ~foreign & F.replace(v, dec, F.lit(".")).rlike(_NUMBER)
@@ -137,14 +137,16 @@ def classify_records(lines: DataFrame, formats: DataFrame, *, line: str = "raw_l
     )
     rows = lines.join(F.broadcast(spec), F.col(f"`{fmt}`") == F.col(f)["id"], "left")  # at most MAX_FORMATS rows
     of = lambda name: F.col(f)[name]
-    raw = F.regexp_replace(F.col(f"`{line}`"), r"\r\z", "")
-    stripped = F.regexp_replace(raw, r"^[ \t]+|[ \t]+\z", "")
+    given = F.col(f"`{line}`")
+    raw = F.when(F.endswith(given, F.lit("\r")), F.left(given, F.length(given) - 1)).otherwise(given)
+    stripped = F.btrim(raw, F.lit(" \t"))
     blanks = F.coalesce(of("sep") == "", F.lit(False))  # then blanks and tabs at either end don't count
     header = (raw == of("head")) | (blanks & (stripped == F.trim(of("head"))))
-    rows = rows.where(F.col(f"`{line}`").isNotNull() & ~raw.rlike(r"^\s*\z") & ~F.coalesce(header, F.lit(False)))
+    rows = rows.where(given.isNotNull() & ~raw.rlike(r"^\s*\z") & ~F.coalesce(header, F.lit(False)))
 
     # Step 1: the permissive read. The columns as text, and whether the reader refuses the line.
-    text = F.when(blanks, stripped).otherwise(raw)
+    rows = rows.withColumn(f"{f}x", _once(F.when(blanks, stripped).otherwise(raw)))
+    text = F.col(f"{f}x")
     strange = text.rlike(r"[\r\n\x00]") | ((of("quote") != "") & F.contains(text, of("quote")))
     n_cols = F.size(of("kinds"))
     parts = F.split(text, r"[ \t]+", -1)
@@ -160,7 +162,8 @@ def classify_records(lines: DataFrame, formats: DataFrame, *, line: str = "raw_l
         perm = perm.when((of("sep") == sep) & (of("quote") == quote) & (n_cols == n), read)
     plain = blanks | F.concat_ws("\u0001", of("sep"), of("quote"), n_cols.cast("string")).isin([f"{a}\u0001{q}\u0001{n}" for a, q, n in sorted(trusted)])
     doubtful = F.coalesce(strange | ~plain, F.lit(False))
-    rows = rows.withColumn(f"{f}p", F.when(~doubtful, perm)).withColumn(f"{f}t", F.when(doubtful, text))
+    rows = rows.withColumn(f"{f}d", _once(doubtful))
+    rows = rows.withColumns({f"{f}p": F.when(~F.col(f"{f}d"), perm), f"{f}t": F.when(F.col(f"{f}d"), text)})
 
     # Step 2: lines the reader can't be trusted with are split again, exactly.
     kind = T.StructType([T.StructField("fields", T.ArrayType(T.StringType())), T.StructField("sound", T.BooleanType())])
@@ -170,14 +173,20 @@ def classify_records(lines: DataFrame, formats: DataFrame, *, line: str = "raw_l
     again, read = F.col(f"{f}a"), F.col(f"{f}p")
     rows = rows.withColumn(c_fields, F.coalesce(again["fields"], read["fields"]))
     fields = F.col(f"`{c_fields}`")
-    fit = F.forall(F.zip_with(fields, of("kinds"), lambda v, k: value_fits(v, k, of("dec"))), lambda ok: ok)
+    bare = F.transform(fields, lambda v: _bare(F.coalesce(v, F.lit(""))))
+    fit = F.forall(F.zip_with(bare, of("kinds"), lambda v, k: value_fits(v, k, of("dec"))), lambda ok: ok)
     reason = (
         F.when(F.col(f).isNull(), "format")
         .when(~F.coalesce(again["sound"], F.lit(True)), "quoting")
         .when(F.coalesce(read["corrupt"], F.size(fields) != n_cols), "columns")
         .when(~fit, "value")
     )
-    return rows.withColumn(c_reason, reason).drop(f, f"{f}p", f"{f}t", f"{f}a")
+    return rows.withColumn(c_reason, _once(reason)).drop(f, *[f"{f}{x}" for x in "xdpta"])
+
+
+def _once(column: Column) -> Column:
+    """The column, computed once: the condition always holds, but Catalyst doesn't know it and so copies the expression nowhere."""
+    return F.when(F.monotonically_increasing_id() >= 0, column)
 
 
 _SPARK_TYPES = {"numeric": "double", "integer": "int", "character": "string", "logical": "boolean", "Date": "date", "POSIXct": "timestamp_ntz"}
