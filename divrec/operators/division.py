@@ -26,6 +26,8 @@ from divrec.runtime import broadcast_if_small, grouped_pandas, require_columns
 
 KEY = "_key"
 VALUE = "value"
+#: Rows of the first pair that an opaque function is tried on.
+EXAMPLE_ROWS = 1000
 
 
 @dataclass(frozen=True)
@@ -379,6 +381,7 @@ def add_transform(
     *,
     columns: Mapping[str, Column] | None = None,
     agg: Mapping[str, Column] | None = None,
+    uses: Sequence[str] | None = None,
     schema: str | T.StructType | None = None,
     name: str | None = None,
 ) -> Division:
@@ -387,8 +390,10 @@ def add_transform(
     ``columns``: row expressions, ``agg``: aggregates giving one row a subset;
     both stay in the plan (no Python). ``fn(value)`` or ``fn(key, value)``: an
     opaque function of the subset's frame, deferred and fused with its
-    neighbours; it is tried on the first pair, which also gives the result's
-    columns unless ``schema`` (of the value columns) does. Values captured by
+    neighbours; it is tried on the first pair (at most ``EXAMPLE_ROWS`` of its
+    rows), which also gives the result's
+    columns unless ``schema`` (of the value columns) does. ``uses``: the columns
+    the first opaque function needs, so that no others are read. Values captured by
     ``fn`` are those at the time of this call.
     """
     if columns or agg:
@@ -398,6 +403,9 @@ def add_transform(
             return replace(div, df=div.df.withColumns(dict(columns)), attrs={})
         df = div.df.groupBy(KEY, *div.split_cols).agg(*[c.alias(k) for k, c in agg.items()])
         return replace(div, df=df, attrs={})
+    if uses is not None and not div.transforms:
+        require_columns(div.df, uses)
+        div = replace(div, df=div.df.select(KEY, *[F.col(f"`{c}`") for c in (*div.split_cols, *uses)]))
     frozen = _freeze(fn)
     new = replace(div, transforms=(*div.transforms, (frozen, name or getattr(fn, "__name__", None))), attrs={})
     return replace(new, schema=_result_schema(new, schema), is_ddo=False)
@@ -416,7 +424,7 @@ def _result_schema(div: Division, schema: str | T.StructType | None) -> T.Struct
         s = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
         return T.StructType([*head, *s.fields])
     first = div.df.agg(F.min(KEY)).first()[0]
-    pdf = div.df.where(F.col(KEY) == F.lit(first)).toPandas()
+    pdf = div.df.where(F.col(KEY) == F.lit(first)).limit(EXAMPLE_ROWS).toPandas()
     if pdf.empty:
         raise ValueError("an empty division has no example to infer the result from; give schema=")
     pair = _chain([f for f, _ in div.transforms], first, pdf.drop(columns=[KEY, *div.split_cols]))

@@ -105,14 +105,14 @@ def transform_chain(s, d):
 def transform_python_fused(s, d):
     """Two opaque functions, run in one grouped map."""
     offset = 3.0
-    div = add_transform(_by_flags(s, d), lambda v: v.assign(q=v["l_quantity"] + offset))
+    div = add_transform(_by_flags(s, d), lambda v: v.assign(q=v["l_quantity"] + offset), uses=["l_quantity"])
     div = add_transform(div, lambda k, v: {"mean_q": round(float(v["q"].mean()), 4), "n": len(v)})
     return recombine(div, comb_rbind())
 
 
 def transform_rekey(s, d):
     """Pairs under a new key, then frames of one key bound together."""
-    div = add_transform(_by_flags(s, d), lambda k, v: Pair(k.split("|")[0], pd.DataFrame({"qty": [float(v["l_quantity"].sum())]})))
+    div = add_transform(_by_flags(s, d), lambda k, v: Pair(k.split("|")[0], pd.DataFrame({"qty": [float(v["l_quantity"].sum())]})), uses=["l_quantity"])
     res = recombine(div, comb_ddf())
     return res.rows().groupBy(F.col(KEY).alias("key")).agg(F.count(F.lit(1)).alias("n"), R(F.sum("qty"), 2).alias("qty"))
 

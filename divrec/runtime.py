@@ -138,4 +138,5 @@ def grouped_pandas(df: DataFrame, key: str, run, schema) -> DataFrame:
         pdf.columns = names
         return run(pdf)
 
-    return df.toDF(*[f"c{i}" for i in range(len(names))]).groupBy(f"c{at}").applyInPandas(named, schema)
+    placed = df.toDF(*[f"c{i}" for i in range(len(names))]).repartition(partitions(df.sparkSession), f"c{at}")  # few bytes may be much work: not merged
+    return placed.groupBy(f"c{at}").applyInPandas(named, schema)

@@ -101,6 +101,14 @@ def test_transforms_chain_fuse_and_freeze(flowers):
     assert "deferred" in repr(div)
 
 
+def test_only_used_columns_are_read(spark, flowers, tmp_path):
+    flowers.write.parquet(f"{tmp_path}/f")
+    div = add_transform(divide(spark.read.parquet(f"{tmp_path}/f"), "kind"), lambda v: {"cols": ",".join(v.columns)}, uses=["width"])
+    plan = div.rows()._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<width:double,kind:string>" in plan
+    assert {r["cols"] for r in recombine(div, comb_rbind()).collect()} == {"width"}
+
+
 def test_transform_errors_name_the_key(flowers):
     with pytest.raises(RuntimeError, match="kind=ash"):
         add_transform(divide(flowers, "kind"), lambda v: v["none"])
