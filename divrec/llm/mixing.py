@@ -326,5 +326,9 @@ def mix_sources(
 
 
 def unreachable(report: DataFrame) -> DataFrame:
-    """Capped sources that the fit left at their cap and whose tokens at the cap stay below the target."""
-    return report.where(F.col("max_repeats").isNotNull() & F.col("saturated") & (F.col("available_tokens") < F.col("target_tokens"))).select("mix_id", "source")
+    """Capped sources whose tokens at the cap stay below the target, wherever the fit left their documents.
+
+    ``saturated`` says nothing here: documents without a source may lift a
+    source above its target, and then its own leave the cap.
+    """
+    return report.where(F.col("max_repeats").isNotNull() & (F.col("available_tokens") < F.col("target_tokens"))).select("mix_id", "source")

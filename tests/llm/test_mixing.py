@@ -46,6 +46,20 @@ def test_unreachable(spark, docs):
     assert uses.where("mix_id = 1 and uses > 1").count() == 0
 
 
+def test_unreachable_with_documents_without_source(spark):
+    """A third of the words have no source and half the sound of shop: they lift it above its target, and its own documents leave the cap."""
+    rnd = np.random.default_rng(8)
+    shop, news = "lamp chair table wood desk".split(), "vote party law court state".split()
+    rows = [(i, " ".join(rnd.choice([shop, news, shop + news][i % 3], size=20)), ["shop", "news", None][i % 3]) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    t = spark.createDataFrame([(1, 1.0, "shop", 0.35, 1), (1, 1.0, "news", 0.65, 1)], TARGETS)
+    report, _ = mix_sources(docs, t)
+    got = {r["source"]: r for r in report.collect()}
+    assert all(got[s]["size_tokens"] == 6000 for s in ("shop", "news")) and got["shop"]["target_tokens"] == pytest.approx(6300)
+    assert not got["shop"]["saturated"]
+    assert {r["source"] for r in unreachable(report).collect()} == {"shop", "news"}
+
+
 def test_same_at_any_partitioning(spark, docs):
     t = spark.createDataFrame([(1, 0.7, "shop", 1.0, 2), (1, 0.7, "news", 1.0, 2)], TARGETS)
     key = lambda d: sorted(map(tuple, mix_sources(d, t)[1].collect()))
