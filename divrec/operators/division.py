@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import inspect
+import pickle
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -26,8 +27,6 @@ from divrec.runtime import broadcast_if_small, grouped_pandas, require_columns
 
 KEY = "_key"
 VALUE = "value"
-#: Rows of the first pair that an opaque function is tried on.
-EXAMPLE_ROWS = 1000
 
 
 @dataclass(frozen=True)
@@ -286,10 +285,14 @@ def _frame(pair: Pair, split: Mapping[str, Any], names: Sequence[str] | None = N
     else:
         res = pd.DataFrame({VALUE: [v.item() if isinstance(v, np.generic) else v]})
     res = res.drop(columns=[c for c in split if c in res.columns])
+    res.columns = [str(c) for c in res.columns]
     res.insert(0, KEY, pair.key)
     for i, (c, x) in enumerate(split.items(), 1):
         res.insert(i, c, [x] * len(res))
     if names is not None:
+        more = [c for c in res.columns if c not in set(names)] if len(res) else []
+        if more:
+            raise ValueError(f"the result for key {pair.key!r} has columns that the schema lacks: {', '.join(more)}; give schema= with all columns")
         res = res.reindex(columns=list(names))
     return res if len(res) else pd.DataFrame({c: pd.Series([], dtype=object) for c in res.columns})
 
@@ -390,9 +393,9 @@ def add_transform(
     ``columns``: row expressions, ``agg``: aggregates giving one row a subset;
     both stay in the plan (no Python). ``fn(value)`` or ``fn(key, value)``: an
     opaque function of the subset's frame, deferred and fused with its
-    neighbours; it is tried on the first pair (at most ``EXAMPLE_ROWS`` of its
-    rows), which also gives the result's
-    columns unless ``schema`` (of the value columns) does. ``uses``: the columns
+    neighbours; without ``schema`` (of the value columns) it is tried on the
+    whole first pair, which gives the result's columns. A result that has
+    others is an error; those that it lacks are missing. ``uses``: the columns
     the first opaque function needs, so that no others are read. Values captured by
     ``fn`` are those at the time of this call.
     """
@@ -424,16 +427,42 @@ def _result_schema(div: Division, schema: str | T.StructType | None) -> T.Struct
         s = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
         return T.StructType([*head, *s.fields])
     first = div.df.agg(F.min(KEY)).first()[0]
-    pdf = div.df.where(F.col(KEY) == F.lit(first)).limit(EXAMPLE_ROWS).toPandas()
-    if pdf.empty:
+    fns, hidden = [f for f, _ in div.transforms], [KEY, *div.split_cols]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:  # the whole pair, where it would run anyway; few rows reach the driver
+        try:
+            res, error = pickle.dumps(_of_each_kind(_frame(_chain(fns, pdf[KEY].iloc[0], pdf.drop(columns=hidden).reset_index(drop=True)), {}))), None
+        except RuntimeError as e:
+            res, error = None, str(e)
+        return pd.DataFrame({"res": [res], "error": [error]})
+
+    found = grouped_pandas(div.df.where(F.col(KEY) == F.lit(first)), KEY, run, "res binary, error string").collect()
+    if not found:
         raise ValueError("an empty division has no example to infer the result from; give schema=")
-    pair = _chain([f for f, _ in div.transforms], first, pdf.drop(columns=[KEY, *div.split_cols]))
-    res = _frame(pair, {})
-    inferred = div.df.sparkSession.createDataFrame(res).schema
+    if found[0]["error"]:
+        raise RuntimeError(found[0]["error"])
+    inferred = div.df.sparkSession.createDataFrame(pickle.loads(found[0]["res"])).schema
     key = T.StructField(KEY, inferred[KEY].dataType)
     return T.StructType([key, *head[1:], *[f for f in inferred.fields if f.name != KEY]])
 
 
+def _of_each_kind(res: pd.DataFrame) -> pd.DataFrame:
+    """Rows of a result that hold every kind of value of each column, so that they give the types of the whole."""
+
+    def kind(v: Any) -> str:
+        try:
+            return type(v).__name__ if isinstance(v, (str, int, float, type(None))) else T._infer_type(v).json()
+        except Exception:  # no type of Spark's: the caller is told by createDataFrame
+            return type(v).__name__
+
+    keep = {0} if len(res) else set()
+    for i in range(res.shape[1]):
+        col = res.iloc[:, i]
+        kinds = col.map(kind) if col.dtype == object else col.isna()
+        keep.update(np.flatnonzero(~kinds.duplicated().to_numpy()).tolist())
+    return res.iloc[sorted(keep)].reset_index(drop=True)
+
+
 def dr_lapply(div: Division, fn: Callable | None = None, **kw: Any) -> Division:
     """Apply a method to every subset; the result is a division."""
     return add_transform(div, fn, **kw)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from divrec.operators.combine import comb_collect, comb_ddf, comb_ddo, comb_mean, comb_mean_coef, comb_rbind, recombine
 from divrec.operators.division import KEY, Pair, add_transform, cond_div, ddf, ddo, divide, dr_filter, dr_join, dr_lapply, dr_sample, dr_subset, joined_lists, kv_apply, kv_pairs, rr_div, to_ddf
+from divrec.operators.mapreduce import mr_exec
 
 # shaped like a flower table: three kinds of fifty rows
 RNG = np.random.default_rng(1)
@@ -101,6 +102,22 @@ def test_transforms_chain_fuse_and_freeze(flowers):
     assert "deferred" in repr(div)
 
 
+def test_no_result_column_is_lost(spark):
+    rows = spark.createDataFrame([("a", i, "late" if i == 1500 else "x") for i in range(1501)] + [("b", 1, "x"), ("c", 2, "late")], "g string, i int, lev string")
+    div = divide(rows, "g")
+    levels = lambda v: v["lev"].value_counts().to_dict()
+    # a level beyond row 1000 of the first pair is a column
+    assert {r["g"]: (r["x"], r["late"]) for r in recombine(add_transform(div, levels), comb_rbind()).fillna(0).collect()} == {"a": (1500, 1), "b": (1, 0), "c": (0, 1)}
+    # one that the first pair hasn't is an error, unless the schema has it
+    some = divide(rows.where("not (g = 'a' and lev = 'late')"), "g")
+    with pytest.raises(Exception, match="columns that the schema lacks: late; give schema="):
+        recombine(add_transform(some, levels), comb_rbind()).collect()
+    assert {r["g"]: r["late"] for r in recombine(add_transform(some, levels, schema="x long, late long"), comb_rbind()).collect()} == {"a": None, "b": None, "c": 1}
+    # the same in map/reduce, where the first collected pair gives the columns
+    with pytest.raises(Exception, match="columns that the schema lacks"):
+        mr_exec(some, lambda keys, values, collect, counter, source: [collect(k, {k[-1]: 1}) for k in keys]).df.collect()
+
+
 def test_only_used_columns_are_read(spark, flowers, tmp_path):
     flowers.write.parquet(f"{tmp_path}/f")
     div = add_transform(divide(spark.read.parquet(f"{tmp_path}/f"), "kind"), lambda v: {"cols": ",".join(v.columns)}, uses=["width"])
