@@ -50,7 +50,8 @@ def read_table(
     """A delimited file, or a folder of them, as a division keyed by running block number.
 
     ``sep`` empty: any run of blanks and tabs. Types are those of ``schema``,
-    or inferred from the first lines (integer, double, else text). ``dec`` may
+    or inferred from the first lines (integer, double, else text); a later value
+    that is neither missing nor of its column's type is an error. ``dec`` may
     be a comma. ``skip`` lines and the header are left out at the start of each
     file. A line of too few fields is filled with missing values (``fill``) or
     an error; too many are an error. Block numbers run across the files in
@@ -93,7 +94,12 @@ def read_table(
         v = F.when(~v.isin(*missing), v)
         if dec != "." and isinstance(t, (T.DoubleType, T.FloatType, T.DecimalType)):
             v = F.replace(v, F.lit(dec), F.lit("."))
-        return v.try_cast(t)
+        cast = v.try_cast(t)
+        misfit = v.isNotNull() & cast.isNull()
+        if isinstance(t, (T.DoubleType, T.FloatType)):  # the cast takes 1d and 1f as numbers
+            misfit = misfit | v.rlike(r"[0-9.][dDfF]$")
+        what = F.concat(F.lit(f"not {t.simpleString()} in column {names[i]}; give schema=: "), v)
+        return F.when(misfit, F.raise_error(what)).otherwise(cast)
 
     table = rows.select(*_PLACE, *[typed(i, t).alias(c) for i, (c, t) in enumerate(zip(names, types))])
     numbered = row_numbers(table, [], _PLACE, "_row")

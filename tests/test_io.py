@@ -109,3 +109,13 @@ def test_map_reduce_blocks_and_counters(spark, div):
     assert ident.rows().count() == 30 and not ident.is_ddo
     with pytest.raises(ValueError, match="nothing was collected"):
         mr_exec(div, lambda *a: None)
+
+
+@pytest.mark.parametrize("late", ["1.5", "3000000000", "text", "2d"])
+def test_value_that_misfits_its_column(spark, tmp_path, late):
+    (tmp_path / "a.csv").write_text("i,x\n" + "".join(f"{i},{i}.5\n" for i in range(1200)))
+    (tmp_path / "b.csv").write_text(f"i,x\nNA,\n{'7' if late == '2d' else late},{late if late == '2d' else '0'}\n")
+    with pytest.raises(Exception, match=f"not (int|double) in column [ix]; give schema=: {late}"):
+        read_csv(spark, str(tmp_path)).df.collect()
+    got = read_csv(spark, str(tmp_path), schema="i string, x string").df.where("i is null or i = '1' or x = '2d' or i = '" + late + "'")
+    assert got.count() == 3
