@@ -113,8 +113,10 @@ def _with_tails(rows: DataFrame, res: DataFrame, groups: list[str], tails: int)
 
     up = ordered_scan(rows.select(*groups, "_v"), groups, ["_v"], count="_rn")
     if groups:
-        sizes = broadcast_if_small(up.groupBy(*groups).agg(F.max("_rn").alias("_n")))
-        join = lambda a: a.join(sizes, groups)
+        names = [f"_g{i}" for i in range(len(groups))]
+        sizes = broadcast_if_small(up.groupBy(*[F.col(f"`{g}`").alias(n) for g, n in zip(groups, names)]).agg(F.max("_rn").alias("_n")))
+        # a missing value is a group like any other
+        join = lambda a: a.join(sizes, reduce(lambda x, y: x & y, [F.col(f"`{g}`").eqNullSafe(F.col(n)) for g, n in zip(groups, names)])).drop(*names)
     else:
         n = up.count()
         join = lambda a: a.withColumn("_n", F.lit(n))

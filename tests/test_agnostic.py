@@ -57,6 +57,19 @@ def test_quantile_error_and_invariance(xy):
         assert got == seen and all(abs(got[p] - want[p]) <= 0.5001 * step for p in want)
 
 
+def test_quantile_tails_of_missing_groups(spark):
+    rows = [(g, h, float(i)) for g, h, n in ((None, "a", 30), (None, None, 20), ("x", None, 25), ("x", "a", 10)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, h string, v double")
+    got = {}
+    for r in ag.dr_quantile(df, "v", ["g", "h"], tails=3).collect():
+        got.setdefault((r["g"], r["h"]), []).append((r["fval"], r["q"]))
+    assert set(got) == {(None, "a"), (None, None), ("x", None), ("x", "a")}
+    for (g, h), n in (((None, "a"), 30), ((None, None), 20), (("x", None), 25), (("x", "a"), 10)):
+        q = sorted(got[(g, h)])
+        assert q[:3] == [(k / n, float(k)) for k in range(3)] and q[-3:] == [((n - 2 + k) / n, float(n - 3 + k)) for k in range(3)]
+        assert len(q) == 6 + sum(2 / n < i / 200 < (n - 2) / n for i in range(201))
+
+
 def test_quantile_tails_of_small_groups(spark):
     df = spark.createDataFrame([(float(i), "s") for i in range(3)] + [(float(i), "l") for i in range(50)] + [(7.0, "c")] * 4, "v double, g string")
     got = ag.dr_quantile(df, "v", "g", tails=5).collect()
