@@ -52,6 +52,11 @@ def divide_number_keys(s, d):
     return divide(table(s, d, "census"), ["educationnum", "capgain"]).rows().groupBy(F.col(KEY).alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or key like '%=NA%'")
 
 
+def divide_number_keys_whole(s, d):
+    """All keys of a numeric conditioning variable, subsets of one row too."""
+    return divide(table(s, d, "census"), ["educationnum", "capgain"]).rows().groupBy(F.col(KEY).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def divide_spill(s, d):
     div = divide(_lineitem(s, d).select(*IDENTITY, *FLAGS, "l_quantity"), cond_div(*FLAGS), spill=1000, spill_order=[*IDENTITY, "l_quantity"])
     return div.rows().groupBy(F.col(KEY).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("orders"))
@@ -442,7 +447,7 @@ def stream_append(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        divide_rbind_mean, divide_cond_counts, divide_number_keys, divide_spill, divide_filter, divide_random, redivide_random_then_cond, redivide_split_variable, grouped_to_ddf,
+        divide_rbind_mean, divide_cond_counts, divide_number_keys, divide_number_keys_whole, divide_spill, divide_filter, divide_random, redivide_random_then_cond, redivide_split_variable, grouped_to_ddf,
         bsv_table, flatten_bsv, transform_chain, transform_python_fused, transform_rekey, lapply_stat, recombine_collect, recombine_ddo, filter_pairs, filter_pairs_python,
         sample_pairs, subset_rows, persist_roundtrip, extract_by_key, convert_attributes, add_remove_data, extractable_lookup, join_two, join_three_outer, join_lists,
         comb_mean_vectors, comb_mean_coefficients, lm_simple, lm_two_predictors, glm_logistic, glm_gaussian, blb_mean, agg_count, agg_sum_two_way, agg_by, agg_max_unique,

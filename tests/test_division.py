@@ -118,6 +118,16 @@ def test_no_result_column_is_lost(spark):
         mr_exec(some, lambda keys, values, collect, counter, source: [collect(k, {k[-1]: 1}) for k in keys]).df.collect()
 
 
+def test_number_keys_of_single_rows(spark, tmp_path):
+    from divrec.plans.recombination import QUERIES
+
+    rows = [(9, 0.0, 2), (10, 1234.5, 1), (10, -0.25, 1), (11, 99999.0, 1), (12, 3e10, 1), (13, 1e-7, 1), (None, 5.0, 1), (14, None, 1), (14, float("nan"), 1)]
+    spark.createDataFrame([(e, g) for e, g, n in rows for _ in range(n)], "educationnum int, capgain double").write.parquet(f"{tmp_path}/census.parquet")
+    want = {(9, "0"): 2, (10, "1234.5"): 1, (10, "-0.25"): 1, (11, "99999"): 1, (12, "30000000000"): 1, (13, "0.0000001"): 1, ("NA", "5"): 1, (14, "NA"): 2}
+    got = {r["key"]: r["n"] for r in QUERIES["divide_number_keys_whole"](spark, str(tmp_path)).collect()}
+    assert got == {f"educationnum={e}|capgain={g}": n for (e, g), n in want.items()}
+
+
 def test_only_used_columns_are_read(spark, flowers, tmp_path):
     flowers.write.parquet(f"{tmp_path}/f")
     div = add_transform(divide(spark.read.parquet(f"{tmp_path}/f"), "kind"), lambda v: {"cols": ",".join(v.columns)}, uses=["width"])
