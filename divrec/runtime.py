@@ -56,10 +56,19 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 def rename_path(spark: SparkSession, src: str, dst: str) -> None:
     fs, p = _filesystem(spark, src)
-    if not fs.rename(p, spark._jvm.org.apache.hadoop.fs.Path(dst)):
+    to = spark._jvm.org.apache.hadoop.fs.Path(dst)
+    if not fs.exists(to.getParent()):
+        fs.mkdirs(to.getParent())
+    if not fs.rename(p, to):
         raise OSError(f"cannot rename {src} to {dst}")
 
 
+def glob_files(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths of the files that match a pattern, in order of their names."""
+    fs, p = _filesystem(spark, pattern)
+    return sorted(s.getPath().toString() for s in (fs.globStatus(p) or []) if s.isFile())
+
+
 def list_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     """(path, bytes) of the data files directly below ``path`` (names not starting with ``_`` or ``.``)."""
     fs, p = _filesystem(spark, path)
@@ -71,6 +80,39 @@ def list_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     return found
 
 
+def file_totals(spark: SparkSession, path: str) -> tuple[int, int]:
+    """(files, bytes) of the data files at any depth below ``path``; listed and added up by the engine, not on the driver."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    row = found.agg(F.count(F.lit(1)), F.sum("length")).first()
+    return row[0], row[1] or 0
+
+
+def sub_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly below ``path`` that readers see."""
+    fs, p = _filesystem(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
+    return sorted(n for n in names if not n.startswith(".") and (not n.startswith("_") or "=" in n))
+
+
+def read_text_file(spark: SparkSession, path: str) -> str | None:
+    """A small file as text; None if there is none."""
+    fs, p = _filesystem(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text_file(spark: SparkSession, path: str, text: str) -> None:
+    fs, p = _filesystem(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
