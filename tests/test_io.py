@@ -119,3 +119,88 @@ def test_value_that_misfits_its_column(spark, tmp_path, late):
         read_csv(spark, str(tmp_path)).df.collect()
     got = read_csv(spark, str(tmp_path), schema="i string, x string").df.where("i is null or i = '1' or x = '2d' or i = '" + late + "'")
     assert got.count() == 3
+
+
+@pytest.mark.parametrize("split", [None, "90b"])
+@pytest.mark.parametrize("multi", [False, True])
+def test_lines_and_records_over_many_splits(spark, tmp_path, split, multi):
+    """Against Python's own reader: quoted line ends, separators, marks and comment marks; blank lines; files cut into many splits."""
+    import csv
+    import io
+    import random
+
+    rnd = random.Random(4)
+    want = []
+    for f in range(4):
+        out = io.StringIO()
+        out.write("skipped \"line\na,b,c\n")
+        w = csv.writer(out, lineterminator="\n", quoting=csv.QUOTE_ALL)
+        for _ in range([40, 0, 1, 25][f]):
+            row = [str(rnd.randint(0, 99)), "".join(rnd.choices(["x", ",", '"', "#", " ", *(["\n"] * multi)], k=rnd.randint(1, 9))) + "e", rnd.choice(["", "end"])]
+            want.append((int(row[0]), row[1], row[2]))
+            w.writerow(row)
+            out.write("\n" * (rnd.random() < 0.2))
+        (tmp_path / f"f{f}.csv").write_text(out.getvalue())
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        if split:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        rows = read_csv(spark, str(tmp_path), skip=1, comment="#", rows_per_block=9).rows().collect()
+        lines = read_text_chunks(spark, str(tmp_path), lambda v, h: {"n": len(v), "head": h}, "n int, head string", lines_per_block=10, header=True, skip=1)
+        got_lines = sorted((int(r[KEY]), r["n"], r["head"]) for r in lines.rows().collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", kept[1])
+    assert sorted((r["a"], r["b"], r["c"]) for r in rows) == sorted(want)
+    for block in {r[KEY] for r in rows}:
+        assert sorted((r["a"], r["b"], r["c"]) for r in rows if r[KEY] == block) == sorted(want[(block - 1) * 9 : block * 9])
+    n = sum(len(p.read_text().splitlines()) - 2 for p in tmp_path.iterdir())
+    assert got_lines == [(i + 1, min(10, n - 10 * i), "a,b,c") for i in range(-(-n // 10))]
+
+
+def test_open_quotes_and_escapes(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\n1,"open\n2,x\n')
+    with pytest.raises(Exception, match="never closed"):
+        read_csv(spark, str(tmp_path / "a.csv"))
+    (tmp_path / "b.csv").write_text('a,b\n1,x\\ty\\x41\\101\\\\\n')
+    assert read_csv(spark, str(tmp_path / "b.csv"), allow_escapes=True).rows().first()["b"] == "x\tyAA\\"
+    (tmp_path / "c.csv").write_text('t,n\n"x\ny",1\n"x#1",2\n')
+    got = read_csv(spark, str(tmp_path / "c.csv"), comment="#").rows().collect()
+    assert sorted((r["t"], r["n"]) for r in got) == [("x\ny", 1), ("x#1", 2)]
+
+
+def test_look_up_of_every_number_key(spark, tmp_path):
+    c = DiskConnection(f"{tmp_path}/n", n_bins=8)
+    c.write(spark.range(20).select(F.col("id").alias(KEY), (F.col("id") * 2).alias("v")))
+    opened = DiskConnection(f"{tmp_path}/n")  # the number of bins is kept with the rows
+    assert [opened.read_key(spark, k).first()["v"] for k in range(20)] == [2 * k for k in range(20)]
+    assert opened.read_key(spark, "7").count() == 1 and opened.read_key(spark, 99).count() == 0
+
+
+@pytest.mark.parametrize("bins", [0, 4])
+def test_attributes_follow_changes(spark, tmp_path, bins):
+    from divrec.streaming.ingest import add_batch, ingest_files
+
+    o = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(10)], "v int, g string")
+    c = DiskConnection(f"{tmp_path}/k", n_bins=bins)
+    convert(update_attributes(divide(o, "g")), c)
+    spark.createDataFrame([(i, "cd"[i % 2]) for i in range(5)], o.schema).write.parquet(f"{tmp_path}/in")
+    for _ in range(2):  # the second finds nothing new
+        ingest_files(spark, f"{tmp_path}/in", c, o.schema, ["g"], checkpoint=f"{tmp_path}/ck")
+        back = open_division(spark, c)
+        assert back.rows().count() == back.nrow() == 15 and len(back) == 4 and back.split_cols == ("g",)
+    more = divide(o.limit(2).withColumn("g", F.lit(None).cast("string")), "g").rows()
+    assert add_data(spark, c, more) == 2 and add_data(spark, c, more) == 0
+    again = divide(o.limit(1).withColumn("g", F.lit("b")), "g").rows()
+    assert add_data(spark, c, again, overwrite=True) == 1
+    back = open_division(spark, c)
+    assert back.rows().count() == back.nrow() == 15 and len(back) == 5
+    assert remove_data(spark, c, ["g=a", "g=zz"]) == 1
+    back = open_division(spark, c)
+    assert back.rows().count() == back.nrow() == 11 and len(back) == 4 and "summary" not in back.attrs
+    batch = divide(o, "g").rows()
+    assert [add_batch(batch, c, "id-1"), add_batch(batch, c, "id-1")] == [10, 0] and c.read(spark).count() == 21
+    # a crash while files were moved in: the marker is missing, the files are there
+    next((tmp_path / "k" / "_meta" / "batches").glob("id-1")).unlink()
+    assert add_batch(batch, c, "id-1") == 10 and c.read(spark).count() == 21
