@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,27 +11,42 @@ from pyspark.sql import types as T
 
 
 def value_text(df: DataFrame, name: str) -> Column:
-    """A value as it stands in a key: no exponent, whole numbers without decimals, missing as ``NA``.
+    """A value as it stands in a key: whole numbers without decimals, missing as ``NA``; different values have different texts.
 
-    The text depends on the value alone, never on other values, so a value can't fall into two subsets.
+    A floating number has the shortest text that gives it back, without an
+    exponent where 38 digits, 19 of them decimals, suffice. The text depends on
+    the value alone, never on other values, so a value can't fall into two
+    subsets, nor two values into one.
     """
     kind, c = df.schema[name].dataType, F.col(f"`{name}`")
     if isinstance(kind, (T.FloatType, T.DoubleType)):
-        d = c.cast("double")
-        short = F.regexp_replace(F.regexp_replace(d.cast("decimal(38,10)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-        whole = F.when(d == F.floor(d), F.floor(d).cast("bigint").cast("string")).otherwise(short)
+        d, short = c.cast("double"), c.cast("string")
+        plain = short.try_cast("decimal(38,19)")
+        plain = F.when(plain.cast("string").try_cast(kind) == c, _no_zeros(plain.cast("string")))
+        whole = F.when(F.abs(d) < 9e18, F.floor(d).cast("string")).otherwise(short.try_cast("decimal(38,0)").cast("string"))
+        whole = F.when(d % 1.0 == 0, whole)
         inf = F.when(d > 0, "Inf").otherwise("-Inf")
-        c = F.when(F.isnan(d), None).when(F.abs(d) == float("inf"), inf).when(F.abs(d) < 1e18, whole).otherwise(d.cast("string"))
+        c = F.when(F.isnan(d), None).when(F.abs(d) == float("inf"), inf).when(d == 0, "0").otherwise(F.coalesce(whole, plain, short))
     elif isinstance(kind, T.DecimalType):
-        c = F.regexp_replace(F.regexp_replace(c.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+        c = _no_zeros(c.cast("string"))
     elif isinstance(kind, T.BooleanType):
         c = F.upper(c.cast("string"))
     return F.coalesce(c.cast("string"), F.lit("NA"))
 
 
+def _no_zeros(number: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(number, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+
+def escaped(text: Column) -> Column:
+    """Backslash, ``|`` and ``=`` in a value with a backslash before them, so that no two combinations of values share a key."""
+    return F.regexp_replace(text, r"([\\|=])", r"\\$1")
+
+
 def condition_key(df: DataFrame, names: Sequence[str]) -> Column:
-    """``a=1|b=x`` over the conditioning columns."""
-    return F.concat_ws("|", *[F.concat(F.lit(f"{n}="), value_text(df, n)) for n in names])
+    """``a=1|b=x`` over the conditioning columns; marks within values are escaped."""
+    text = lambda n: escaped(value_text(df, n)) if isinstance(df.schema[n].dataType, T.StringType) else value_text(df, n)
+    return F.concat_ws("|", *[F.concat(F.lit(re.sub(r"([\\|=])", r"\\\1", n) + "="), text(n)) for n in names])
 
 
 def md5_number(text: Column, seed: int | str = "") -> Column:
