@@ -38,15 +38,22 @@ def _no_zeros(number: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(number, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
-def escaped(text: Column) -> Column:
-    """Backslash, ``|`` and ``=`` in a value with a backslash before them, so that no two combinations of values share a key."""
-    return F.regexp_replace(text, r"([\\|=])", r"\\$1")
+def escaped(text: Column, names: Sequence[str]) -> Column:
+    """A value that looks as if the next variable began in it (``|b=``) gets a backslash there, so that no two combinations share a key.
+
+    Backslashes before such a place, or at the value's end, are doubled; all
+    other values stand as they are.
+    """
+    if len(names) < 2:
+        return text
+    next_one = "|".join(re.escape(n) for n in names)
+    return F.regexp_replace(F.regexp_replace(text, rf"(\\*)\|(?=(?:{next_one})=)", r"$1$1\\|"), r"(?<!\\)(\\+)$", "$1$1")
 
 
 def condition_key(df: DataFrame, names: Sequence[str]) -> Column:
-    """``a=1|b=x`` over the conditioning columns; marks within values are escaped."""
-    text = lambda n: escaped(value_text(df, n)) if isinstance(df.schema[n].dataType, T.StringType) else value_text(df, n)
-    return F.concat_ws("|", *[F.concat(F.lit(re.sub(r"([\\|=])", r"\\\1", n) + "="), text(n)) for n in names])
+    """``a=1|b=x`` over the conditioning columns."""
+    text = lambda n: escaped(value_text(df, n), names) if isinstance(df.schema[n].dataType, T.StringType) else value_text(df, n)
+    return F.concat_ws("|", *[F.concat(F.lit(f"{n}="), text(n)) for n in names])
 
 
 def md5_number(text: Column, seed: int | str = "") -> Column:
