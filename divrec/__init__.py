@@ -13,7 +13,7 @@ _NAMES = {
     "operators.combine": "Combine comb_collect comb_ddf comb_ddo comb_mean comb_mean_coef comb_rbind recombine",
     "operators.agnostic": "calculate_moments combine_moments combine_multiple_moments datetime_summary dr_aggregate dr_hexbin dr_quantile format_summary frequency_summary moments_of moments_to_statistics numeric_summary split_row_distn split_size_distn update_attributes",
     "operators.models": "blb dr_blb dr_glm dr_lm",
-    "operators.mapreduce": "Reduce counters mr_exec",
+    "operators.mapreduce": "Control Reduce controlled counters default_control mr_exec source_names",
     "operators.scan": "ordered_scan row_numbers",
     "operators.skew": "eager_join_aggregate key_shares key_states row_distribution",
     "operators.compaction": "compact_dataset plan_compaction",

@@ -8,9 +8,11 @@ run fused in one grouped map.
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import inspect
 import pickle
+import warnings
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -188,12 +190,21 @@ class Division:
 
     def extract(self, wanted: Sequence) -> list[Pair | None]:
         """Pairs by position (in key order), key or md5 of the key, in the order asked for; what is missing is None."""
-        keys = [r[0] for r in self.df.select(KEY).distinct().orderBy(KEY).collect()] if any(isinstance(w, int) for w in wanted) else None
+        places = [w for w in wanted if isinstance(w, int)]
+        keys = self._keys_at(places) if places else {}
         hashes = [w for w in wanted if isinstance(w, str) and len(w) == 32 and all(c in "0123456789abcdef" for c in w)]
         by_hash = {r[1]: r[0] for r in self.df.where(F.md5(KEY).isin(hashes)).select(KEY, F.md5(KEY)).distinct().collect()} if hashes else {}
-        name = lambda w: (keys[w] if -len(keys) <= w < len(keys) else None) if isinstance(w, int) else by_hash.get(w, w)
+        name = lambda w: keys.get(w) if isinstance(w, int) else by_hash.get(w, w)
         return [None if name(w) is None else self._pair(name(w)) for w in wanted]
 
+    def _keys_at(self, places: Sequence[int]) -> dict[int, Any]:
+        """The keys at some positions in key order (negative: from the end); only those reach the driver."""
+        ranked = row_numbers(self.df.select(KEY).distinct(), [], [KEY], "_n")
+        n = ranked.count() if any(p < 0 for p in places) else 0
+        at = {p: p + 1 if p >= 0 else n + p + 1 for p in places}
+        found = {r["_n"]: r[KEY] for r in ranked.where(F.col("_n").isin(list(at.values()))).select("_n", KEY).collect()}
+        return {p: found[i] for p, i in at.items() if i in found}
+
     def __getitem__(self, wanted: Any) -> Any:
         return self.extract(wanted) if isinstance(wanted, (list, tuple)) else self.extract([wanted])[0]
 
@@ -231,10 +242,10 @@ class Division:
 
     def to_pandas(self, max_rows: int = 5_000_000, **kw: Any) -> pd.DataFrame:
         """As a local frame; more than ``max_rows`` rows are refused instead of filling the driver."""
-        res = self.to_table(**kw)
-        if res.limit(max_rows + 1).count() > max_rows:
+        res = self.to_table(**kw).limit(max_rows + 1).toPandas()  # one run of what is deferred
+        if len(res) > max_rows:
             raise MemoryError(f"more than {max_rows} rows; subset first or raise max_rows")
-        return res.toPandas()
+        return res
 
     def to_list(self) -> list[Pair]:
         rows = self.to_pandas(split_vars=False)
@@ -242,6 +253,10 @@ class Division:
             return [Pair(k, v) for k, v in zip(rows[KEY], rows[VALUE])]
         return [Pair(k, g.drop(columns=KEY).reset_index(drop=True)) for k, g in rows.groupby(KEY, sort=True, dropna=False)]
 
+    def pipe(self, fn: Callable, *args: Any, **kw: Any) -> Any:
+        """``fn(self, ...)``, so that verbs can be chained."""
+        return fn(self, *args, **kw)
+
     def __repr__(self) -> str:
         lines = [f"{'Distributed objects' if self.is_ddo else 'Distributed data frame'}: {len(self.value_cols)} columns"]
         lines += [f"  {f.name} ({f.dataType.simpleString()})" for f in (self.schema or self.df.schema).fields if f.name in self.value_cols]
@@ -327,7 +342,7 @@ def divide(
     spill_order: Sequence[str] | None = None,
     filter_by: Column | None = None,
     filter_fn: Callable[[pd.DataFrame], bool] | None = None,
-    bsv: Mapping[str, Column | tuple[Column, str]] | None = None,
+    bsv: Mapping[str, Column | tuple[Column, str]] | Callable[[pd.DataFrame], Mapping] | None = None,
     pre: Callable[[DataFrame], DataFrame] | None = None,
     post: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Division:
@@ -336,7 +351,9 @@ def divide(
     Order of work: ``pre`` on the rows; keys; subsets of more than ``spill``
     rows become ``key_1, key_2, ...`` (in ``spill_order``, default all columns);
     ``filter_by`` (an aggregate) or ``filter_fn`` (a Python function) keeps
-    whole subsets; ``bsv`` computes one value per subset; ``post`` on the rows.
+    whole subsets; ``bsv`` computes values per subset, by aggregates, or by a
+    Python function of the frame that returns a mapping of values or of
+    ``(value, description)``; ``post`` on the rows.
     Conditioning columns leave the visible columns and stay at hand as split
     variables. A missing value is a subset of its own, ``NA``. Nothing is
     shuffled for the keys themselves. Without ``spill`` no subset is cut: rows
@@ -370,13 +387,38 @@ def divide(
     res = Division(rows, split, spec, attrs=attrs)
     if filter_by is not None or filter_fn is not None:
         res = dr_filter(res, filter_by if filter_by is not None else filter_fn, with_split=True)
-    if bsv:
+    if callable(bsv):
+        res = _opaque_bsv(res, bsv)
+    elif bsv:
         pairs = {k: v if isinstance(v, tuple) else (v, k) for k, v in bsv.items()}
         side = res.df.groupBy(KEY).agg(*[c.alias(k) for k, (c, _) in pairs.items()])
         res = replace(res, bsv_df=side, bsv_desc={k: d for k, (_, d) in pairs.items()})
     return replace(res, df=post(res.df), attrs={}) if post is not None else res
 
 
+def _opaque_bsv(div: Division, fn: Callable[[pd.DataFrame], Mapping]) -> Division:
+    """Between-subset variables of a Python function: text, numbers, days and times; other values are missing, longer ones are dropped with a warning."""
+    frozen = _freeze(fn)
+
+    def split(value: pd.DataFrame) -> tuple[dict, dict]:
+        res = frozen(value)
+        if not isinstance(res, Mapping):
+            raise TypeError("a bsv function must return a mapping")
+        both = {k: v if isinstance(v, tuple) and len(v) == 2 and isinstance(v[1], str) else (v, "") for k, v in res.items()}
+        one = {k: v.item() if isinstance(v, np.generic) else v for k, (v, _) in both.items() if isinstance(v, str) or not hasattr(v, "__len__") or len(v) == 1}
+        one = {k: v if isinstance(v, str) or not hasattr(v, "__len__") else list(v)[0] for k, v in one.items()}
+        plain = {k: v if isinstance(v, (str, bool, int, float, datetime.date)) and v is not pd.NaT else None for k, v in one.items()}
+        return plain, {k: d for k, (_, d) in both.items()}
+
+    example = _first_result(div, lambda value: split(value))
+    plain, desc = example
+    if len(plain) < len(desc):
+        warnings.warn(f"between-subset variables of more than one value are dropped: {', '.join(k for k in desc if k not in plain)}", stacklevel=3)
+    div_plain = replace(div, bsv_df=None, bsv_desc={})
+    side = add_transform(div_plain, lambda value: split(value)[0]).rows().drop(*div.split_cols)
+    return replace(div, bsv_df=side, bsv_desc={k: desc[k] for k in plain})
+
+
 # -- deferred methods ------------------------------------------------------------------------------------------------
 def add_transform(
     div: Division,
@@ -426,24 +468,48 @@ def _result_schema(div: Division, schema: str | T.StructType | None) -> T.Struct
     if schema is not None:
         s = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
         return T.StructType([*head, *s.fields])
-    first = div.df.agg(F.min(KEY)).first()[0]
-    fns, hidden = [f for f, _ in div.transforms], [KEY, *div.split_cols]
+    fns = [f for f, _ in div.transforms]
+
+    def example(key: Any, pdf: pd.DataFrame) -> bytes | None:
+        res = _frame(_chain(fns, key, pdf), {})
+        return pickle.dumps(_of_each_kind(res)) if _has_types(res) else None
+
+    found = _try_pairs(div, example)
+    inferred = div.df.sparkSession.createDataFrame(pickle.loads(found)).schema
+    key = T.StructField(KEY, inferred[KEY].dataType)
+    return T.StructType([key, *head[1:], *[f for f in inferred.fields if f.name != KEY]])
+
+
+def _try_pairs(div: Division, fn: Callable[[Any, pd.DataFrame], bytes | None]) -> bytes:
+    """``fn`` of the first whole pair that gives anything, run where it would run anyway; few rows reach the driver."""
+    hidden = [KEY, *div.split_cols]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:  # the whole pair, where it would run anyway; few rows reach the driver
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         try:
-            res, error = pickle.dumps(_of_each_kind(_frame(_chain(fns, pdf[KEY].iloc[0], pdf.drop(columns=hidden).reset_index(drop=True)), {}))), None
-        except RuntimeError as e:
+            res, error = fn(pdf[KEY].iloc[0], pdf.drop(columns=hidden).reset_index(drop=True)), None
+        except (RuntimeError, TypeError) as e:
             res, error = None, str(e)
         return pd.DataFrame({"res": [res], "error": [error]})
 
+    first = div.df.agg(F.min(KEY)).first()[0]
     found = grouped_pandas(div.df.where(F.col(KEY) == F.lit(first)), KEY, run, "res binary, error string").collect()
+    if not found or (found[0]["res"] is None and not found[0]["error"]):  # the first pair gives nothing: any that does
+        found = grouped_pandas(div.df, KEY, run, "res binary, error string").where("res is not null or error is not null").limit(1).collect()
     if not found:
-        raise ValueError("an empty division has no example to infer the result from; give schema=")
+        raise ValueError("an empty division, or one without results, has no example to infer the result from; give schema=")
     if found[0]["error"]:
         raise RuntimeError(found[0]["error"])
-    inferred = div.df.sparkSession.createDataFrame(pickle.loads(found[0]["res"])).schema
-    key = T.StructField(KEY, inferred[KEY].dataType)
-    return T.StructType([key, *head[1:], *[f for f in inferred.fields if f.name != KEY]])
+    return found[0]["res"]
+
+
+def _first_result(div: Division, fn: Callable[[pd.DataFrame], Any]) -> Any:
+    frozen = _freeze(fn)
+    return pickle.loads(_try_pairs(div, lambda key, pdf: pickle.dumps(frozen(pdf))))
+
+
+def _has_types(res: pd.DataFrame) -> bool:
+    """Whether every column holds a value, so that its type is known."""
+    return len(res) > 0 and all(res.iloc[:, i].notna().any() or res.iloc[:, i].dtype != object for i in range(res.shape[1]))
 
 
 def _of_each_kind(res: pd.DataFrame) -> pd.DataFrame:
@@ -471,10 +537,15 @@ def dr_lapply(div: Division, fn: Callable | None = None, **kw: Any) -> Division:
 def dr_filter(div: Division, keep: Column | Callable[[pd.DataFrame], bool], *, with_split: bool = False) -> Division:
     """Keep whole subsets: by an aggregate condition (stays in the plan), or by a Python function of the frame. NULL is no."""
     if isinstance(keep, Column):
-        rows = div.rows()
+        from divrec.runtime import stage
+
+        rows = stage(div.rows(), "filter") if div.transforms else div.df
         good = rows.groupBy(KEY).agg(keep.alias("_ok")).where("_ok").select(KEY)
     else:
-        rows, drop = div.rows(), [] if with_split else list(div.split_cols)
+        from divrec.runtime import stage
+
+        # deferred functions run once: their rows are needed for the test and for the result
+        rows, drop = stage(div.rows(), "filter") if div.transforms else div.df, [] if with_split else list(div.split_cols)
         fn = _freeze(keep)
         kind = rows.schema[KEY].dataType.simpleString()
 
@@ -484,12 +555,15 @@ def dr_filter(div: Division, keep: Column | Callable[[pd.DataFrame], bool], *, w
             return pd.DataFrame({KEY: [key] if bool(pair.value) else []})
 
         good = grouped_pandas(rows, KEY, test, f"`{KEY}` {kind}")
-    return replace(div, df=rows.join(good, KEY, "left_semi").select(*_all(rows)), transforms=(), schema=None, attrs={})
+    good = good.withColumnRenamed(KEY, "_good")
+    return replace(div, df=rows.join(good, rows[KEY].eqNullSafe(good["_good"]), "left_semi").select(*_all(rows)), transforms=(), schema=None, attrs={})
 
 
 def dr_subset(div: Division, condition: Column | None = None, select: Sequence[str] | None = None, drop: bool = False, max_rows: int | None = 500_000) -> DataFrame:
     """Rows where the condition holds (NULL: no), some columns, at most ``max_rows`` rows (None: all).
 
+    The bound is part of the verb, which takes a bounded extract; where it
+    leaves rows out there is a warning, so that nothing is cut in silence.
     ``drop``: leave the split variables out.
     """
     rows = div.rows()
@@ -497,7 +571,11 @@ def dr_subset(div: Division, condition: Column | None = None, select: Sequence[s
         rows = rows.where(F.coalesce(condition, F.lit(False)))
     cols = list(select) if select else ([] if drop else list(div.split_cols)) + div.value_cols
     rows = rows.select(*[F.col(f"`{c}`") for c in cols])
-    return rows if max_rows is None else rows.limit(max_rows)
+    if max_rows is None:
+        return rows
+    if rows.select(F.lit(1)).limit(max_rows + 1).count() > max_rows:
+        warnings.warn(f"the subset has more than {max_rows} rows and is cut; max_rows=None takes all", stacklevel=2)
+    return rows.limit(max_rows)
 
 
 def dr_sample(div: Division, share: float, seed: int | str = "") -> Division:
@@ -518,24 +596,41 @@ def dr_persist(div: Division, path: str | None = None, overwrite: bool | str = F
     return replace(div, df=kept, transforms=(), schema=None)
 
 
-def dr_join(**sources: Division) -> Division:
+def dr_join(*unnamed: Division, post: Callable[[dict], Any] | None = None, schema: str | T.StructType | None = None, **sources: Division) -> Division:
     """Full outer cogroup of divisions on their keys.
 
     A pair of the result is a key with the rows of every source that has it.
     The rows stay rows: each carries ``_source`` and, in a column named like
     its source, a struct of its columns; no subset is gathered anywhere, so a
     key may hold a third of all rows. ``joined_lists`` gathers small pairs.
+    Sources without a name get one as in ``source_names``. ``post``: an opaque
+    function of a pair, a dict of the sources' frames (only those that have the
+    key), deferred like any other; it sees a whole pair in one task.
     """
-    if not sources:
+    from divrec.operators.mapreduce import source_names
+
+    given = source_names([*((None, d) for d in unnamed), *sources.items()] if sources else list(unnamed))
+    if not given:
         raise ValueError("nothing to join")
     parts = []
-    for name, div in sources.items():
+    for name, div in given.items():
         rows = div.rows()
         parts.append(rows.select(F.col(KEY).cast("string").alias(KEY), F.lit(name).alias("_source"), F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != KEY]).alias(name)))
     res = parts[0]
     for p in parts[1:]:
         res = res.unionByName(p, allowMissingColumns=True)
-    return Division(res)
+    joined = Division(res)
+    if post is None:
+        return joined
+    frozen = _freeze(post)
+
+    def gathered(value: pd.DataFrame) -> Any:
+        frames = {}
+        for name, rows in value.groupby("_source", sort=False):
+            frames[name] = pd.DataFrame([r if isinstance(r, dict) else r.asDict() for r in rows[name]]).reset_index(drop=True)
+        return frozen({n: frames[n] for n in given if n in frames})
+
+    return add_transform(joined, gathered, schema=schema, name=getattr(post, "__name__", None))
 
 
 def joined_lists(div: Division, max_rows: int = 100_000) -> DataFrame:
