@@ -79,7 +79,8 @@ def dr_quantile(
     cumulative share reaches fval: at most half a bin from the exact value of
     values within the range. ``tails``: the so many smallest and largest values
     of each group (fewer in smaller groups) take the place of the ends, at
-    fval (k - 1) / n and (n - tails + k) / n. NULL and NaN are no values.
+    fval (k - 1) / n and (n - tails + k) / n. NULL and NaN are no values;
+    infinite values count in the first and last bin.
     """
     df = _table(data)
     groups = [by] if isinstance(by, str) else list(by or [])
@@ -88,43 +89,71 @@ def dr_quantile(
     v = clean(df, var)
     v = transform(v) if transform else v
     rows = df.select(*groups, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    if var_range is None:
-        lo, hi = rows.agg(F.min("_v"), F.max("_v")).first()
+    if var_range is None:  # infinite values are no ends of the range; they count in the end bins
+        finite = F.when(F.abs("_v") < float("inf"), F.col("_v"))
+        lo, hi = rows.agg(F.min(finite), F.max(finite)).first()
+        within = F.lit(True)
     else:
         lo, hi = sorted(map(float, var_range))
+        within = F.col("_v").between(lo, hi)
     if lo is None:
         return rows.select(F.lit(0.0).alias("fval"), F.col("_v").alias("q"), *groups).limit(0)
     delta = (hi - lo) / (n_bins - 1)
-    bin_of = F.ceil((F.col("_v") - F.lit(lo - delta / 2)) / F.lit(delta)).cast("int") if delta > 0 else F.lit(1)
-    counts = rows.where(F.col("_v").between(lo, hi)).groupBy(*groups, bin_of.alias("_bin")).agg(F.count(F.lit(1)).alias("_f"))
+    clamped = F.greatest(F.least(F.col("_v"), F.lit(hi)), F.lit(lo))
+    bin_of = F.ceil((clamped - F.lit(lo - delta / 2)) / F.lit(delta)).cast("int") if delta > 0 else F.lit(1)
+    every = rows.groupBy(*groups, bin_of.alias("_bin")).agg(F.count(F.lit(1)).alias("_all"), F.count_if(within).alias("_f"))
     # At most n_bins rows a group from here on.
     from pyspark.sql import Window
 
-    up = Window.partitionBy(*groups).orderBy("_bin")
-    share = F.sum("_f").over(up) / F.sum("_f").over(Window.partitionBy(*groups)).cast("double")
+    up, whole = Window.partitionBy(*groups).orderBy("_bin"), Window.partitionBy(*groups)
+    counts = every.where("_f > 0")
+    share = F.sum("_f").over(up) / F.sum("_f").over(whole).cast("double")
     cum = counts.withColumn("_c", share).withColumn("_p", F.coalesce(F.lag("_c").over(up), F.lit(-1.0)))
     hit = F.filter(F.array(*[F.lit(float(p)) for p in ps]), lambda p: (p <= F.col("_c")) & (p > F.col("_p")))
     res = cum.withColumn("fval", F.explode(hit)).select("fval", (F.lit(lo) + (F.col("_bin") - 1) * F.lit(delta)).alias("q"), *groups)
-    return _with_tails(rows, res, groups, tails) if tails > 0 else res
+    if tails <= 0:
+        return res
+    ends = every.withColumn("_n", F.sum("_all").over(whole)).withColumn("_up", F.sum("_all").over(up))
+    t = F.least(F.lit(tails), F.col("_n"))
+    bounds = ends.groupBy(*groups).agg(
+        F.max("_n").alias("_n"), F.min(F.when(F.col("_up") >= t, F.col("_bin"))).alias("_lo"), F.max(F.when(F.col("_n") - F.col("_up") + F.col("_all") >= t, F.col("_bin"))).alias("_hi")
+    )
+    return _with_tails(rows.withColumn("_bin", bin_of), res, bounds, groups, tails)
+
 
+def _with_tails(rows: DataFrame, res: DataFrame, bounds: DataFrame, groups: list[str], tails: int) -> DataFrame:
+    """``res`` with each group's smallest and largest values for its ends.
 
-def _with_tails(rows: DataFrame, res: DataFrame, groups: list[str], tails: int) -> DataFrame:
+    ``bounds`` says in which bins of a group they lie, so that only values of
+    those bins, combined to (value, count), are ranked.
+    """
     from divrec.operators.scan import ordered_scan
 
-    up = ordered_scan(rows.select(*groups, "_v"), groups, ["_v"], count="_rn")
-    if groups:
-        names = [f"_g{i}" for i in range(len(groups))]
-        sizes = broadcast_if_small(up.groupBy(*[F.col(f"`{g}`").alias(n) for g, n in zip(groups, names)]).agg(F.max("_rn").alias("_n")))
-        # a missing value is a group like any other
-        join = lambda a: a.join(sizes, reduce(lambda x, y: x & y, [F.col(f"`{g}`").eqNullSafe(F.col(n)) for g, n in zip(groups, names)])).drop(*names)
-    else:
-        n = up.count()
-        join = lambda a: a.withColumn("_n", F.lit(n))
+    names = [f"_g{i}" for i in range(len(groups))]
+
+    def join(a: DataFrame, side: DataFrame) -> DataFrame:  # a missing value is a group like any other
+        if not groups:  # one row
+            only = side.first().asDict()
+            return a.withColumns({c: F.lit(v) for c, v in only.items()})
+        side = broadcast_if_small(side.withColumnsRenamed(dict(zip(groups, names))))
+        return a.join(side, reduce(lambda x, y: x & y, [F.col(f"`{g}`").eqNullSafe(F.col(n)) for g, n in zip(groups, names)])).drop(*names)
+
+    near = join(rows, bounds)
+    states = near.where((F.col("_bin") <= F.col("_lo")) | (F.col("_bin") >= F.col("_hi"))).groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_f"))
+    ranked = ordered_scan(states, groups, ["_v"], sums={"_cum": "_f"})
+    sizes = bounds.select(*groups, "_n")
+    held = ranked.groupBy(*groups).agg(F.sum("_f").alias("_held")) if groups else ranked.agg(F.sum("_f").alias("_held"))
+    ranked = join(join(ranked, sizes), held)
     t = F.least(F.lit(tails), F.col("_n"))
-    ranked = join(up)
-    bottom = ranked.where(F.col("_rn") <= t).select(((F.col("_rn") - 1) / F.col("_n")).alias("fval"), F.col("_v").alias("q"), *groups)
-    top = ranked.where((F.col("_rn") > F.col("_n") - t) & (F.col("_rn") > t)).select((F.col("_rn") / F.col("_n")).alias("fval"), F.col("_v").alias("q"), *groups)
-    inner = join(res).where((F.col("fval") > (t - 1) / F.col("_n")) & (F.col("fval") < (F.col("_n") - t + 1) / F.col("_n"))).select("fval", "q", *groups)
+    # values lie in the two ends, so the rank from the top is that among the values held, too
+    first, last = F.col("_cum") - F.col("_f") + 1, F.col("_cum")
+    low = F.when(first <= t, F.sequence(first, F.least(last, t)))
+    gap = F.col("_n") - F.col("_held")
+    above = F.greatest(first + gap, F.col("_n") - t + 1, t + 1)
+    high = F.when(above <= last + gap, F.sequence(above, last + gap))
+    bottom = ranked.select(F.explode(low).alias("_k"), "_n", F.col("_v").alias("q"), *groups).select(((F.col("_k") - 1) / F.col("_n")).alias("fval"), "q", *groups)
+    top = ranked.select(F.explode(high).alias("_k"), "_n", F.col("_v").alias("q"), *groups).select((F.col("_k") / F.col("_n")).alias("fval"), "q", *groups)
+    inner = join(res, sizes).where((F.col("fval") > (t - 1) / F.col("_n")) & (F.col("fval") < (F.col("_n") - t + 1) / F.col("_n"))).select("fval", "q", *groups)
     return bottom.unionByName(inner).unionByName(top)
 
 
@@ -178,6 +207,8 @@ def dr_hexbin(
     return cells.groupBy(*groups, "lattice", "i", "j").agg(F.count(F.lit(1)).alias("count"), F.avg("_x").alias("xcm"), F.avg("_y").alias("ycm"))
 
 
+# Moments of parts are combined by the pairwise updates of arbitrary order of Bennett et al., "Numerically stable,
+# single-pass, parallel statistics algorithms" (IEEE CLUSTER 2009).
 # -- moments -----------------------------------------------------------------------------------------------------------
 def moments_of(column: Column, order: int = 4) -> Column:
     """A mergeable record ``n, M1 (mean), M2.. (sums of powers about the mean)`` as one aggregate."""
@@ -258,6 +289,10 @@ def kinds(df: DataFrame) -> dict[str, str]:
 
 def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per column: ``nna, n, mean, var, skewness, kurtosis`` (not excess), ``min, max``; all in one pass."""
+    return df.agg(F.array(*_numeric_parts(df, columns)).alias("_a")).select(F.inline("_a"))
+
+
+def _numeric_parts(df: DataFrame, columns: Sequence[str]) -> list[Column]:
     aggs = []
     for c in columns:
         v = clean(df, c)
@@ -267,7 +302,7 @@ def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                 F.skewness(v).alias("skewness"), (F.kurtosis(v) + 3.0).alias("kurtosis"), F.min(v).alias("min"), F.max(v).alias("max"),
             )
         )
-    return df.agg(F.array(*aggs).alias("_a")).select(F.inline("_a"))
+    return aggs
 
 
 def frequency_summary(df: DataFrame, column: str, max_levels: int = MAX_LEVELS) -> DataFrame:
@@ -279,11 +314,14 @@ def frequency_summary(df: DataFrame, column: str, max_levels: int = MAX_LEVELS)
 
 def datetime_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per column: ``nna, min, max`` (as timestamps without zone)."""
-    aggs = [
+    return df.agg(F.array(*_time_parts(columns)).alias("_a")).select(F.inline("_a"))
+
+
+def _time_parts(columns: Sequence[str]) -> list[Column]:
+    return [
         F.struct(F.lit(c).alias("variable"), (F.count(F.lit(1)) - F.count(F.col(f"`{c}`"))).alias("nna"), F.min(F.col(f"`{c}`")).cast("timestamp_ntz").alias("min"), F.max(F.col(f"`{c}`")).cast("timestamp_ntz").alias("max"))
         for c in columns
     ]
-    return df.agg(F.array(*aggs).alias("_a")).select(F.inline("_a"))
 
 
 def split_row_distn(div: Division) -> DataFrame:
@@ -299,27 +337,73 @@ def split_size_distn(div: Division) -> DataFrame:
     return row_distribution(rows.groupBy(KEY).agg(size).withColumn("key_column", F.lit("key"))).select(F.col("nrow").alias("totObjectSize"), "ndiv", F.col("splitrowdistn").alias("splitsizedistn"))
 
 
+def frequency_tables(df: DataFrame, columns: Sequence[str], max_levels: int = MAX_LEVELS) -> DataFrame:
+    """``variable, value, Freq, complete`` of several text columns in one pass; missing values are a row with value NULL.
+
+    Of a column with more than ``max_levels`` levels the most and the least
+    frequent halves; levels are ranked by a distributed sort, and a column may
+    have as many as rows.
+    """
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"`{c}`").alias("value")) for c in columns])).alias("_e"))
+    from divrec.runtime import stage
+
+    counts = stage(long.groupBy("_e.variable", "_e.value").agg(F.count(F.lit(1)).alias("Freq")), "levels")
+    from divrec.operators.scan import row_numbers
+
+    present = counts.where("value is not null").withColumn("_neg", -F.col("Freq"))
+    totals = present.groupBy("variable").agg(F.count(F.lit(1)).alias("_levels"))  # one row a column
+    ranked = row_numbers(present, ["variable"], ["_neg", "value"], "_rank").join(F.broadcast(totals), "variable")
+    half = max(1, max_levels // 2)
+    kept = ranked.where((F.col("_levels") <= max_levels) | (F.col("_rank") <= half) | (F.col("_rank") > F.col("_levels") - half))
+    missing = counts.where("value is null").withColumn("complete", F.lit(True))
+    return kept.select("variable", "value", "Freq", (F.col("_levels") <= max_levels).alias("complete")).unionByName(missing)
+
+
 def update_attributes(div: Division) -> Division:
-    """The division with the attributes it doesn't know yet: nRow, nDiv, splitRowDistn, vars and summary."""
+    """The division with the attributes it doesn't know yet.
+
+    nRow, nDiv, splitRowDistn, totObjectSize and splitSizeDistn (uncompressed
+    bytes, as JSON text) and keys (None if there are more than MAX_LEVELS; see
+    ``get_keys``) come from one aggregation by key; vars and summary from one
+    over all numeric and time columns and one over all text columns, however
+    many there are.
+    """
     have, new = set(div.attrs), {}
     if div.transforms:
         raise ValueError("persist a transformed division before asking for its attributes")
-    if not {"nRow", "nDiv", "splitRowDistn"} <= have:
-        r = split_row_distn(div).first()
+    if not {"nRow", "nDiv", "splitRowDistn", "totObjectSize", "splitSizeDistn", "keys"} <= have:
+        from divrec.runtime import stage
+
+        size = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in div.df.columns]))).cast("bigint"))
+        per = stage(div.df.groupBy(KEY).agg(F.count(F.lit(1)).alias("rows"), size.alias("bytes")), "keys")
+        both = per.select(KEY, F.explode(F.array(F.struct(F.lit("rows").alias("key_column"), F.col("rows").alias("n")), F.struct(F.lit("bytes").alias("key_column"), F.col("bytes").alias("n")))).alias("_e"))
+        got = {r["key_column"]: r for r in row_distribution(both.select("_e.key_column", "_e.n")).collect()}
+        r, b = got.get("rows"), got.get("bytes")
         new.update(nRow=r["nrow"] if r else 0, nDiv=r["ndiv"] if r else 0, splitRowDistn=list(r["splitrowdistn"]) if r else [])
+        new.update(totObjectSize=b["nrow"] if b else 0, splitSizeDistn=list(b["splitrowdistn"]) if b else [])
+        new["keys"] = [x[0] for x in per.select(KEY).orderBy(KEY).collect()] if new["nDiv"] <= MAX_LEVELS else None
     if "summary" not in have:
-        df = div.df.select(*div.value_cols)
+        df = div.df.select(*[F.col(f"`{c}`") for c in div.value_cols])
         by = kinds(df)
         summary: dict[str, Any] = {}
-        num, tim = [c for c, k in by.items() if k == "numeric"], [c for c, k in by.items() if k == "datetime"]
-        for r in numeric_summary(df, num).collect() if num else []:
-            summary[r["variable"]] = r.asDict()
-        for r in datetime_summary(df, tim).collect() if tim else []:
-            summary[r["variable"]] = r.asDict()
-        for c in (c for c, k in by.items() if k == "categ"):
-            levels = frequency_summary(df, c).orderBy(F.desc("Freq"), "value").collect()  # at most MAX_LEVELS
-            summary[c] = {"variable": c, "nna": df.where(F.col(f"`{c}`").isNull()).count(), "freqTable": [(r["value"], r["Freq"]) for r in levels], "complete": bool(levels and levels[0]["complete"])}
-        new.update(summary=summary, vars={f.name: f.dataType.simpleString() for f in df.schema.fields})
+        num, tim, cat = ([c for c, k in by.items() if k == kind] for kind in ("numeric", "datetime", "categ"))
+        if num or tim:
+            parts = [F.array(*_numeric_parts(df, num)).alias("num")] * bool(num) + [F.array(*_time_parts(tim)).alias("tim")] * bool(tim)
+            row = df.agg(*parts).first()
+            for r in [*(row["num"] if num else []), *(row["tim"] if tim else [])]:
+                summary[r["variable"]] = r.asDict()
+        if cat:
+            levels: dict[str, list] = {c: [] for c in cat}
+            nna, complete = dict.fromkeys(cat, 0), dict.fromkeys(cat, False)
+            for r in frequency_tables(df, cat).collect():  # at most MAX_LEVELS and one a column
+                if r["value"] is None:
+                    nna[r["variable"]] = r["Freq"]
+                else:
+                    levels[r["variable"]].append((r["value"], r["Freq"]))
+                    complete[r["variable"]] = r["complete"]
+            for c in cat:
+                summary[c] = {"variable": c, "nna": nna[c], "freqTable": sorted(levels[c], key=lambda x: (-x[1], x[0])), "complete": complete[c]}
+        new.update(summary={c: summary[c] for c in by}, vars={f.name: f.dataType.simpleString() for f in df.schema.fields})
     return replace(div, attrs={**div.attrs, **new}) if new else div
 
 

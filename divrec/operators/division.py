@@ -414,8 +414,14 @@ def _opaque_bsv(div: Division, fn: Callable[[pd.DataFrame], Mapping]) -> Divisio
     plain, desc = example
     if len(plain) < len(desc):
         warnings.warn(f"between-subset variables of more than one value are dropped: {', '.join(k for k in desc if k not in plain)}", stacklevel=3)
-    div_plain = replace(div, bsv_df=None, bsv_desc={})
-    side = add_transform(div_plain, lambda value: split(value)[0]).rows().drop(*div.split_cols)
+    kinds = {bool: "boolean", int: "bigint", float: "double", datetime.date: "date"}
+    never = [k for k, v in plain.items() if v is None]
+    schema = None
+    if never:  # of a kind that is no variable, or missing in the first subset: text, where it is a variable elsewhere
+        known = {k: "string" if v is None or isinstance(v, str) else kinds.get(type(v), "timestamp_ntz") for k, v in plain.items()}
+        schema = ", ".join(f"`{k}` {t}" for k, t in known.items())
+    side = add_transform(replace(div, bsv_df=None, bsv_desc={}), lambda value: {k: str(v) if k in never and v is not None else v for k, v in split(value)[0].items()}, schema=schema)
+    side = side.rows().drop(*div.split_cols)
     return replace(div, bsv_df=side, bsv_desc={k: desc[k] for k in plain})
 
 
@@ -622,13 +628,13 @@ def dr_join(*unnamed: Division, post: Callable[[dict], Any] | None = None, schem
     joined = Division(res)
     if post is None:
         return joined
-    frozen = _freeze(post)
+    frozen, order = _freeze(post), list(given)
 
     def gathered(value: pd.DataFrame) -> Any:
         frames = {}
         for name, rows in value.groupby("_source", sort=False):
             frames[name] = pd.DataFrame([r if isinstance(r, dict) else r.asDict() for r in rows[name]]).reset_index(drop=True)
-        return frozen({n: frames[n] for n in given if n in frames})
+        return frozen({n: frames[n] for n in order if n in frames})
 
     return add_transform(joined, gathered, schema=schema, name=getattr(post, "__name__", None))
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,87 +18,184 @@ from divrec.runtime import clean, grouped_pandas, require_columns
 COEF = "term string, coef double, n bigint"
 
 
-def dr_lm(div: Division, y: str, xs: Sequence[str]) -> Division:
+#: Levels of a text predictor: they become columns of the models, so there must be few.
+MAX_LEVELS = 200
+
+
+def _levels(rows: DataFrame, xs: Sequence[str]) -> dict[str, list]:
+    """The levels of the text and boolean predictors, in order."""
+    out = {}
+    for c in xs:
+        kind = rows.schema[c].dataType
+        if isinstance(kind, T.BooleanType):
+            out[c] = [False, True]
+        elif isinstance(kind, T.StringType):
+            found = [r[0] for r in rows.where(F.col(f"`{c}`").isNotNull()).select(F.col(f"`{c}`")).distinct().limit(MAX_LEVELS + 1).collect()]
+            if len(found) > MAX_LEVELS:
+                raise ValueError(f"{c} has more than {MAX_LEVELS} levels")
+            out[c] = sorted(found)
+    return out
+
+
+def _level_name(c: str, level: Any) -> str:
+    return f"{c}{str(level).upper() if isinstance(level, bool) else level}"
+
+
+def dr_lm(div: Division, y: str, xs: Sequence[str], weights: str | None = None, offset: str | None = None) -> Division:
     """Least squares per subset: rows ``term, coef, n`` (``n`` counts all rows, those left out for missing values too).
 
-    Means and covariances are one aggregation in the JVM; only the small
-    systems are solved in Python, many at a time. Without a unique solution the
-    one of least norm is taken; a subset without complete rows has NULLs.
+    A text or boolean predictor is a factor: each of its levels in a subset,
+    but the first of them in order, has an indicator and a term named variable
+    and level. ``weights``: a column of nonnegative weights; ``offset``: a
+    column taken with coefficient 1. Means and covariances are one aggregation
+    in the JVM; only the small systems are solved in Python, many at a time.
+    Without a unique solution the one of least norm is taken; a subset without
+    complete rows has NULLs.
     """
     rows = div.rows()
-    require_columns(rows, [y, *xs])
-    cols, p = [y, *xs], len(xs)
-    v = {c: clean(rows, c) for c in cols}
-    whole = v[y].isNotNull()
+    used = [y, *xs, *[c for c in (weights, offset) if c]]
+    require_columns(rows, used)
+    factors = _levels(rows, xs)
+    if y in _levels(rows, [y]):
+        raise ValueError(f"{y} is no number")
+    design, blocks = [], []  # columns; (first, last) columns of each factor
+    whole = clean(rows, y).isNotNull()
+    for c in (weights, offset):
+        whole = whole & clean(rows, c).isNotNull() if c else whole
     for c in xs:
-        whole = whole & v[c].isNotNull()
-    part = rows.select(KEY, *div.split_cols, whole.alias("_w"), *[F.when(whole, v[c]).alias(f"_v{i}") for i, c in enumerate(cols)])
-    means = F.array(*[F.avg(f"_v{i}") for i in range(p + 1)])
-    covs = F.array(*[F.covar_pop(f"_v{i}", f"_v{j}") for i in range(p + 1) for j in range(p + 1)])
-    sums = part.groupBy(KEY, *div.split_cols).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_w").cast("bigint")).alias("_u"), means.alias("_m"), covs.alias("_c"))
+        if c in factors:
+            blocks.append((len(design), len(design) + len(factors[c])))
+            design += [(_level_name(c, v), (F.col(f"`{c}`") == F.lit(v)).cast("double")) for v in factors[c]]
+            whole = whole & F.col(f"`{c}`").isNotNull()
+        else:
+            design.append((c, clean(rows, c)))
+            whole = whole & clean(rows, c).isNotNull()
+    names, p = [t for t, _ in design], len(design)
+    target = clean(rows, y) - clean(rows, offset) if offset else clean(rows, y)
+    values = [target, *[v for _, v in design]]
+    part = rows.select(KEY, *div.split_cols, whole.alias("_w"), *[F.when(whole, v).alias(f"_v{i}") for i, v in enumerate(values)], *([F.when(whole, clean(rows, weights)).alias("_wt")] if weights else []))
+    used_rows = F.sum((F.col("_w") & (F.col("_wt") > 0) if weights else F.col("_w")).cast("bigint")).alias("_u")
+    if weights:  # sums about the means of all rows, which keeps them small
+        about = part.agg(*[F.avg(f"_v{i}") for i in range(p + 1)]).first()
+        v = [F.col(f"_v{i}") - F.lit(about[i] or 0.0) for i in range(p + 1)]
+        mean = lambda c: F.sum(F.col("_wt") * c) / F.sum("_wt")
+        means = F.array(*[mean(c) + F.lit(about[i] or 0.0) for i, c in enumerate(v)])
+        covs = F.array(*[mean(a * b) - mean(a) * mean(b) for a in v for b in v])
+    else:
+        means = F.array(*[F.avg(f"_v{i}") for i in range(p + 1)])
+        covs = F.array(*[F.covar_pop(f"_v{i}", f"_v{j}") for i in range(p + 1) for j in range(p + 1)])
+    sums = part.groupBy(KEY, *div.split_cols).agg(F.count(F.lit(1)).alias("n"), used_rows, means.alias("_m"), covs.alias("_c"))
 
     def solve(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for used, m, c in parts:
+        for n_used, m, c in parts:
             out = []
-            for u, mean, cov in zip(used, m, c):
+            for u, mean, cov in zip(n_used, m, c):
                 if not u:
-                    out.append([None] * (p + 1))
+                    plain = [i for i in range(p) if not any(a <= i < b for a, b in blocks)]
+                    out.append([{"term": t, "coef": None} for t in ["(Intercept)", *(names[i] for i in plain)]])
                     continue
                 mean, cov = np.asarray(mean, float), np.asarray(cov, float).reshape(p + 1, p + 1)
-                beta = np.linalg.lstsq(cov[1:, 1:], cov[1:, 0], rcond=1e-12)[0] if p else np.zeros(0)
-                out.append([float(mean[0] - beta @ mean[1:]), *map(float, beta)])
+                keep = list(range(p))
+                for a, b in blocks:  # of the levels that occur, the first is the base
+                    there = [i for i in range(a, b) if mean[1 + i] > 0]
+                    keep = [i for i in keep if not a <= i < b or i in there[1:]]
+                at = [1 + i for i in keep]
+                beta = np.linalg.lstsq(cov[np.ix_(at, at)], cov[at, 0], rcond=1e-12)[0] if at else np.zeros(0)
+                out.append([{"term": t, "coef": float(b)} for t, b in zip(["(Intercept)", *(names[i] for i in keep)], [mean[0] - beta @ mean[at], *beta])])
             yield pd.Series(out)
 
     solve.__annotations__ = {"parts": Iterator[tuple[pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.Series]}
-    beta = F.pandas_udf(solve, T.ArrayType(T.DoubleType()))("_u", "_m", "_c")
-    terms = F.array(*[F.lit(t) for t in ("(Intercept)", *xs)])
-    res = sums.withColumn("_b", beta).select(KEY, *div.split_cols, "n", F.explode(F.arrays_zip(terms.alias("term"), F.col("_b").alias("coef"))).alias("_t"))
+    kind = T._parse_datatype_string("array<struct<term:string,coef:double>>")
+    res = sums.withColumn("_b", F.pandas_udf(solve, kind)("_u", "_m", "_c")).select(KEY, *div.split_cols, "n", F.explode("_b").alias("_t"))
     return Division(res.select(KEY, *div.split_cols, "_t.term", "_t.coef", "n"), div.split_cols, div.spec)
 
 
-_LINKS = {
-    "gaussian": (lambda e: e, lambda e: np.ones_like(e), lambda m: np.ones_like(m)),
-    "binomial": (lambda e: 1 / (1 + np.exp(-e)), lambda e: np.exp(-np.abs(e)) / (1 + np.exp(-np.abs(e))) ** 2, lambda m: m * (1 - m)),
-    "poisson": (np.exp, np.exp, lambda m: m),
-    "gamma": (lambda e: 1 / e, lambda e: -1 / e**2, lambda m: m**2),
+def _normal(z: np.ndarray) -> np.ndarray:
+    from math import erf
+
+    return np.array([0.5 * (1 + erf(x / 2**0.5)) for x in np.ravel(z)]).reshape(np.shape(z))
+
+
+def _expit(e: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(e, -700, 700)))
+
+
+def _logit(m: np.ndarray) -> np.ndarray:
+    return np.log(m / (1 - m))
+
+
+#: mean of the linear predictor, its slope, and the predictor of a mean, by link
+LINKS = {
+    "identity": (lambda e: e, lambda e: np.ones_like(e), lambda m: m),
+    "logit": (_expit, lambda e: _expit(e) * _expit(-e), _logit),
+    "probit": (_normal, lambda e: np.exp(-(e**2) / 2) / np.sqrt(2 * np.pi), lambda m: 1.7 * _logit(m) / 2.9),
+    "cloglog": (lambda e: -np.expm1(-np.exp(np.clip(e, -700, 700))), lambda e: np.exp(np.clip(e, -700, 700) - np.exp(np.clip(e, -700, 700))), lambda m: np.log(-np.log1p(-m))),
+    "log": (np.exp, np.exp, np.log),
+    "inverse": (lambda e: 1 / e, lambda e: -1 / e**2, lambda m: 1 / m),
+    "sqrt": (lambda e: e**2, lambda e: 2 * e, np.sqrt),
+}
+#: canonical link, variance of a mean, and a first mean of the observations, by family
+FAMILIES = {
+    "gaussian": ("identity", lambda m: np.ones_like(m), lambda y: y),
+    "binomial": ("logit", lambda m: m * (1 - m), lambda y: (y + 0.5) / 2),
+    "poisson": ("log", lambda m: m, lambda y: y + 0.1),
+    "gamma": ("inverse", lambda m: m**2, lambda y: np.maximum(y, 1e-8)),
 }
 
 
-def irls(x: np.ndarray, y: np.ndarray, family: str = "gaussian", rounds: int = 50, tol: float = 1e-10) -> np.ndarray:
-    """Coefficients of a generalised linear model with the family's canonical link, by reweighted least squares."""
-    inverse, slope, variance = _LINKS[family]
-    start = {"gaussian": lambda: y, "binomial": lambda: np.log((y + 0.5) / (1.5 - y)), "poisson": lambda: np.log(y + 0.1), "gamma": lambda: 1 / np.maximum(y, 1e-8)}[family]()
-    eta, beta = start.astype(float), None
+def irls(
+    x: np.ndarray, y: np.ndarray, family: str = "gaussian", rounds: int = 50, tol: float = 1e-10, link: str | None = None, weights: np.ndarray | None = None, offset: np.ndarray | None = None
+) -> np.ndarray:
+    """Coefficients of a generalised linear model, by reweighted least squares; without ``link`` the family's canonical one."""
+    canonical, variance, first = FAMILIES[family]
+    inverse, slope, forward = LINKS[link or canonical]
+    prior = np.ones(len(y)) if weights is None else weights
+    known = np.zeros(len(y)) if offset is None else offset
+    eta, beta = forward(first(y)).astype(float), None
     for _ in range(rounds):
         mu, d = inverse(eta), slope(eta)
-        w = np.sqrt(np.maximum(d**2 / np.maximum(variance(mu), 1e-12), 1e-12))
-        z = eta + (y - mu) / np.where(np.abs(d) < 1e-12, 1e-12, d)
+        w = np.sqrt(prior * np.maximum(d**2 / np.maximum(variance(mu), 1e-12), 1e-12))
+        z = eta - known + (y - mu) / np.where(np.abs(d) < 1e-12, 1e-12, d)
         new = np.linalg.lstsq(x * w[:, None], z * w, rcond=None)[0]
         done = beta is not None and np.max(np.abs(new - beta)) < tol * (1 + np.max(np.abs(new)))
-        beta, eta = new, x @ new
+        beta, eta = new, x @ new + known
         if done:
             break
     return beta
 
 
-def dr_glm(div: Division, y: str, xs: Sequence[str], family: str = "gaussian") -> Division:
-    """Generalised linear model per subset (gaussian, binomial, poisson, gamma; canonical link): rows ``term, coef, n``.
+def dr_glm(div: Division, y: str, xs: Sequence[str], family: str = "gaussian", link: str | None = None, weights: str | None = None, offset: str | None = None) -> Division:
+    """Generalised linear model per subset (gaussian, binomial, poisson, gamma; any of LINKS): rows ``term, coef, n``.
 
-    A subset is fitted in one task, so divide at random first where subsets are
-    large. Rows with missing values are left out of the fit and counted in n.
+    Text and boolean predictors are factors as in ``dr_lm``. A subset is fitted
+    in one task, so divide at random first where subsets are large. Rows with
+    missing values are left out of the fit and counted in n.
     """
-    if family not in _LINKS:
-        raise ValueError(f"no such family: {family}; there are {', '.join(_LINKS)}")
+    if family not in FAMILIES:
+        raise ValueError(f"no such family: {family}; there are {', '.join(FAMILIES)}")
+    if link is not None and link not in LINKS:
+        raise ValueError(f"no such link: {link}; there are {', '.join(LINKS)}")
     rows = div.rows()
-    require_columns(rows, [y, *xs])
-    narrow = rows.select(KEY, *div.split_cols, *[clean(rows, c).alias(f"_v{i}") for i, c in enumerate([y, *xs])])
+    more = [c for c in (weights, offset) if c]
+    require_columns(rows, [y, *xs, *more])
+    factors = _levels(rows, xs)
+    narrow = rows.select(KEY, *div.split_cols, *[(F.col(f"`{c}`") if c in factors else clean(rows, c)).alias(f"_v{i}") for i, c in enumerate([y, *xs, *more])])
     split = list(div.split_cols)
-    terms = ["(Intercept)", *xs]
     schema = T.StructType([narrow.schema[c] for c in (KEY, *split)] + T._parse_datatype_string(COEF).fields)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        full = pdf[[f"_v{i}" for i in range(len(xs) + 1)]].dropna().to_numpy(float)
-        beta = irls(np.column_stack([np.ones(len(full)), full[:, 1:]]), full[:, 0], family) if len(full) else [None] * len(terms)
+        full = pdf[[f"_v{i}" for i in range(1 + len(xs) + len(more))]].dropna()
+        terms, cols = ["(Intercept)"], [np.ones(len(full))]
+        for i, c in enumerate(xs, 1):
+            if c in factors:
+                there = [v for v in factors[c] if (full[f"_v{i}"] == v).any()]
+                terms += [_level_name(c, v) for v in there[1:]]
+                cols += [(full[f"_v{i}"] == v).to_numpy(float) for v in there[1:]]
+            else:
+                terms.append(c)
+                cols.append(full[f"_v{i}"].to_numpy(float))
+        extra = {n: full[f"_v{1 + len(xs) + more.index(c)}"].to_numpy(float) for n, c in (("weights", weights), ("offset", offset)) if c}
+        beta = irls(np.column_stack(cols), full["_v0"].to_numpy(float), family, link=link, **extra) if len(full) else [None] * len(terms)
         out = pd.DataFrame({"term": terms, "coef": beta, "n": len(pdf)})
         for i, c in enumerate([KEY, *split]):
             out.insert(i, c, [pdf[c].iloc[0]] * len(out))

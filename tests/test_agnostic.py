@@ -125,3 +125,35 @@ def test_many_levels(spark):
     assert all_of.agg(F.sum("Freq")).first()[0] == 100 and all_of.where("not complete").count() == 0
     cut = ag.frequency_summary(df, "y", 10)
     assert cut.count() == 10 and cut.where("complete").count() == 0
+
+
+@pytest.mark.parametrize("tails", [0, 3])
+def test_infinite_values_are_no_ends_of_the_range(spark, tails):
+    v = [float(i) for i in range(101)] + [float("inf"), float("-inf")]
+    df = spark.createDataFrame([(x,) for x in v], "v double")
+    got = {r["fval"]: r["q"] for r in ag.dr_quantile(df, "v", probs=[0.25, 0.5, 0.75], n_bins=101, tails=tails).collect()}
+    assert (got[0.25], got[0.5], got[0.75]) == (24.0, 50.0, 76.0)  # the 26th, 52nd and 78th of 103
+    if tails:
+        assert sorted(q for f, q in got.items() if f not in (0.25, 0.5, 0.75)) == [float("-inf"), 0.0, 1.0, 99.0, 100.0, float("inf")]
+
+
+def test_tails_of_repeated_values(spark):
+    import collections
+
+    rows = [("a", 1.0)] * 50 + [("a", 2.0)] * 3 + [("a", 9.0)] * 40 + [("b", 5.0)] * 4
+    got = ag.dr_quantile(spark.createDataFrame(rows, "g string, v double"), "v", "g", probs=[0.5], tails=7).collect()
+    assert collections.Counter((r["g"], r["q"]) for r in got) == {("a", 1.0): 8, ("a", 9.0): 7, ("b", 5.0): 4}
+    assert len({(r["g"], r["fval"]) for r in got}) == len(got)
+
+
+def test_all_attributes(spark):
+    from divrec.operators.division import divide
+
+    rows = [(i, f"t{i % 3}" if i % 5 else None, "xyz"[i % 3], None) for i in range(30)]
+    div = ag.update_attributes(divide(spark.createDataFrame(rows, "n int, t string, g string, e string"), "g"))
+    a = div.attrs
+    assert (a["nRow"], a["nDiv"], a["keys"]) == (30, 3, ["g=x", "g=y", "g=z"]) and len(a["splitSizeDistn"]) == 101 and a["totObjectSize"] > 30 * 10
+    assert a["summary"]["t"] == {"variable": "t", "nna": 6, "freqTable": [("t0", 8), ("t1", 8), ("t2", 8)], "complete": True}
+    assert a["summary"]["e"] == {"variable": "e", "nna": 30, "freqTable": [], "complete": False} and list(a["summary"]) == ["n", "t", "e"]
+    two = ag.frequency_tables(spark.createDataFrame([(f"v{i % 7}", f"w{i}") for i in range(20)], "a string, b string"), ["a", "b"], 4).collect()
+    assert sorted((r["variable"], r["value"], r["Freq"], r["complete"]) for r in two) == [("a", "v0", 3, False), ("a", "v1", 3, False), ("a", "v5", 3, False), ("a", "v6", 2, False)] + [("b", f"w{i}", 1, False) for i in (0, 1, 8, 9)]

@@ -219,3 +219,78 @@ def test_package_names():
     assert all(getattr(divrec, n) is not None for n in divrec.__all__)
     with pytest.raises(AttributeError):
         divrec.nothing
+
+
+def test_every_phase_collects_and_counts(spark, flowers):
+    from divrec.operators.mapreduce import Control, Reduce, controlled, counters, default_control
+
+    def pre(key, collect, counter):
+        counter("phase", "pre")
+        collect(f"{key}-pre", {"n": 0})
+        return 0
+
+    def step(state, key, values, collect, counter):
+        counter("phase", "values", len(values))
+        return state + sum(values)
+
+    def post(state, key, collect, counter):
+        counter("phase", "post")
+        collect(key, {"n": state})
+
+    def m(keys, values, collect, counter, source):
+        for v in values:
+            counter("phase", "map")
+            for w in v["width"]:
+                collect("wide" if w > 0 else "narrow", 1)
+
+    div = divide(flowers, "kind")
+    for combine in (None, lambda k, vs: [sum(vs)]):
+        res = mr_exec(div, m, Reduce(step, post, pre, combine), control=Control(partitions=3, conf={"spark.sql.ansi.enabled": "true"}))
+        got = {r["_key"]: r["n"] for r in res.rows().collect()}
+        assert sum(n for k, n in got.items() if not k.endswith("-pre")) == 150 and sum(k.endswith("-pre") for k in got) == sum(not k.endswith("-pre") for k in got)
+        c = {r["field"]: r["n"] for r in counters(res).collect()}
+        assert c["map"] == 3 and c["pre"] == c["post"] and (c["values"] == 150 if combine is None else c["values"] < 10)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    with controlled(spark, Control(partitions=77)):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "77"
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before and default_control() == Control()
+
+
+def test_join_with_function_and_unnamed_sources(spark):
+    from divrec.operators.division import dr_join
+
+    a = divide(spark.createDataFrame([(1, 10), (1, 11), (2, 12)], "id int, x int"), "id")
+    b = divide(spark.createDataFrame([(2, "p"), (3, "q")], "id int, y string"), "id")
+    got = dr_join(a, other=b, post=lambda v: {"names": ",".join(v), "n": sum(len(f) for f in v.values())}).rows().collect()
+    assert sorted((r["_key"], r["names"], r["n"]) for r in got) == [("id=1", "unnamedDataSource1", 2), ("id=2", "unnamedDataSource1,other", 2), ("id=3", "other", 1)]
+    assert {r["_source"] for r in dr_join(a, b).rows().collect()} == {"dataSource1", "dataSource2"}
+    with pytest.raises(TypeError, match="is no division"):
+        dr_join(x=a, y=b.rows())
+
+
+def test_opaque_between_subset_variables(spark, flowers):
+    import datetime
+
+    with pytest.warns(UserWarning, match="range"):
+        div = divide(flowers, "kind", bsv=lambda f: {"n": (len(f), "rows"), "mean": float(f["width"].mean()), "range": [0, 1], "odd": object(), "day": datetime.date(2020, 1, 1)})
+    assert list(div.bsv_info()["name"]) == ["n", "mean", "odd", "day"] and div.bsv_info()["desc"][0] == "rows"
+    got = {r["_key"]: r for r in div.bsvs().collect()}
+    assert len(got) == 3 and all(r["n"] == 50 and r["odd"] is None and r["day"].year == 2020 for r in got.values())
+
+
+def test_positions_pipe_and_first_pair_without_result(spark, flowers):
+    div = divide(flowers, "kind")
+    assert [p and p.key for p in div.extract([0, -1, 2, 3, -4])] == ["kind=ash", "kind=oak", "kind=oak", None, None]
+    assert div.pipe(lambda d, k: d[k].key, 1) == "kind=elm"
+    some = add_transform(div, lambda k, v: None if k == "kind=ash" else {"n": len(v)})
+    assert sorted((r["_key"], r["n"]) for r in some.rows().collect()) == [("kind=elm", 50), ("kind=oak", 50)]
+
+
+def test_distinct_values_have_distinct_keys(spark):
+    v = [1.00000000001, 1.00000000002, 1e18, 1e22, 1.5e300, 1e-25, float(2**60), -0.0, 0.1]
+    df = spark.createDataFrame([(x,) for x in v], "x double")
+    keys = [r[0] for r in divide(df, "x").rows().select("_key").collect()]
+    assert len(set(keys)) == len(v) and keys[2:4] == ["x=1000000000000000000", "x=10000000000000000000000"] and keys[6] == f"x={2**60}"
+    t = spark.createDataFrame([("x|b=y", "z"), ("x", "y|b=z"), ("a\\", "z|b=w"), ("a|b=z", "w"), ("a|b", "c=d")], "a string, b string")
+    keys = [r[0] for r in divide(t, ["a", "b"]).rows().select("_key").collect()]
+    assert len(set(keys)) == 5 and keys[4] == "a=a|b|b=c=d"

@@ -56,3 +56,40 @@ def test_blb(spark, frame):
     again = divide(spark.createDataFrame(frame).repartition(9), rr_div(100, seed=1))
     assert [r["mean"] for r in run(again)] == pytest.approx([mean, sd])
     assert len(blb(frame, lambda f, w: 1.0, np.mean, 3, 10)) == 1
+
+
+def _designed(f, base):
+    levels = [v for v in sorted(f["c"].unique()) if v != base]
+    return ["(Intercept)", "x", *(f"c{v}" for v in levels)], np.column_stack([np.ones(len(f)), f["x"], *[(f["c"] == v).to_numpy(float) for v in levels]])
+
+
+def test_factors_weights_offset(spark, frame):
+    f = frame.assign(c=["red", "blue", "green", "blue"] * 100, w=np.arange(400) % 5, o=RNG.normal(size=400))
+    f.loc[f["g"] == "a", "c"] = f.loc[f["g"] == "a", "c"].replace("blue", "red")  # a subset without a level
+    df = spark.createDataFrame(f)
+    got = dr_lm(divide(df, "g"), "y", ["x", "c"], weights="w", offset="o").rows().collect()
+    for g, part in f.groupby("g"):
+        terms, x = _designed(part, min(part["c"]))
+        w = np.sqrt(part["w"].to_numpy(float))
+        want = np.linalg.lstsq(x * w[:, None], (part["y"] - part["o"]) * w, rcond=None)[0]
+        mine = {r["term"]: r["coef"] for r in got if r["g"] == g}
+        assert set(mine) == set(terms) and [mine[t] for t in terms] == pytest.approx(want, rel=1e-6)
+    glm = dr_glm(divide(df, "g"), "y", ["x", "c"], weights="w", offset="o").rows().collect()
+    assert {(r["g"], r["term"]): r["coef"] for r in glm} == {(r["g"], r["term"]): pytest.approx(r["coef"], rel=1e-6) for r in got}
+    flags = spark.createDataFrame([("a", 1.0, True), ("a", 3.0, False), ("a", 3.0, None), ("b", 5.0, True)], "g string, y double, f boolean")
+    assert {(r["g"], r["term"]): r["coef"] for r in dr_lm(divide(flags, "g"), "y", ["f"]).rows().collect()} == {("a", "(Intercept)"): 3.0, ("a", "fTRUE"): -2.0, ("b", "(Intercept)"): 5.0}
+    with pytest.raises(ValueError, match="is no number"):
+        dr_lm(divide(df, "g"), "c", ["x"])
+
+
+@pytest.mark.parametrize(("family", "link"), [("binomial", "probit"), ("binomial", "cloglog"), ("poisson", "sqrt"), ("poisson", "identity"), ("gamma", "log")])
+def test_links(family, link):
+    """At the maximum of the likelihood X'((y - mu) slope / variance) = 0."""
+    from divrec.operators.models import FAMILIES, LINKS
+
+    x = np.column_stack([np.ones(800), RNG.uniform(0.2, 1, 800)])
+    mu = LINKS[link][0](x @ np.array([0.5, 0.7]))
+    y = {"binomial": lambda: (RNG.random(800) < mu).astype(float), "poisson": lambda: RNG.poisson(mu).astype(float), "gamma": lambda: RNG.gamma(2, mu / 2)}[family]()
+    eta = x @ irls(x, y, family, link=link)
+    m = LINKS[link][0](eta)
+    assert x.T @ ((y - m) * LINKS[link][1](eta) / FAMILIES[family][1](m)) == pytest.approx([0, 0], abs=1e-5)
