@@ -11,13 +11,11 @@ listings are at hand, so that every live pair is held exactly once.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from divrec.operators.scan import ordered_scan
-from divrec.runtime import list_files, path_exists, remove_path, rename_path, require_columns
+from divrec.runtime import copy_path, file_totals, full_path, list_files, path_exists, remove_path, require_columns, swap_path
 
 MIB = 1 << 20
 #: Size aimed at for a written file, and what opening one file is held to cost: far below the engine's 4 MiB, with which
@@ -74,19 +72,25 @@ def own_pairs(files: DataFrame) -> DataFrame:
     return seen.select(*files.columns, start.alias("own_first"), owned.alias("own_pairs"))
 
 
-def pack_files(files: DataFrame, target_bytes: int = TARGET_BYTES, open_cost: int = OPEN_COST) -> DataFrame:
+def pack_files(files: DataFrame, target_bytes: int = TARGET_BYTES, open_cost: int = OPEN_COST, every_file: bool = False) -> DataFrame:
     """Assign each owned file part to an output file: ``out_file`` from 0 per location, and ``own_bytes``.
 
-    Parts are taken in pair order; each costs its bytes plus ``open_cost``, and
-    a new output file begins whenever the running cost passes a multiple of
-    ``target_bytes``: an output file holds at most ``target_bytes`` and one
-    part more. An unknown size counts as the open cost alone.
+    Parts are taken in pair order; each costs its bytes plus ``open_cost``, as
+    the engine reckons when it packs splits, and a new output file begins
+    whenever the running cost passes a multiple of ``target_bytes``: an output
+    file holds at most ``target_bytes`` and one part more. An unknown size
+    counts as the open cost alone. With ``every_file`` the result has all
+    files: one whose range of pairs is unknown is taken over whole (nothing
+    that it may hold is lost), and one that holds no pairs of its own has
+    ``out_file`` NULL.
     """
-    share = F.col("size_bytes") * F.col("own_pairs") / F.col("n_pairs")
-    parts = files.where(F.col("own_pairs") > 0).withColumn("own_bytes", F.round(share).cast("bigint"))
-    parts = parts.withColumn("_cost", F.coalesce(F.col("own_bytes"), F.lit(0)) + F.lit(open_cost).cast("bigint"))
+    blind = F.col("first_pair").isNull() | F.col("n_pairs").isNull()
+    taken = (F.col("own_pairs") > 0) | blind if every_file else F.col("own_pairs") > 0
+    share = F.when(F.col("own_pairs") > 0, F.round(F.col("size_bytes") * F.col("own_pairs") / F.col("n_pairs")).cast("bigint")).otherwise(F.when(blind, F.col("size_bytes")))
+    parts = (files if every_file else files.where(taken)).withColumn("own_bytes", share)
+    parts = parts.withColumn("_cost", F.when(taken, F.coalesce(F.col("own_bytes"), F.lit(0)) + F.lit(open_cost)).otherwise(0).cast("bigint"))
     run = ordered_scan(parts, ["loc"], ["own_first", "file_name"], sums={"_run": "_cost"})
-    out = F.floor((F.col("_run") - F.col("_cost")) / F.lit(target_bytes)).cast("bigint")
+    out = F.when(taken, F.floor((F.col("_run") - F.col("_cost")) / F.lit(target_bytes)).cast("bigint"))
     return run.select(*files.columns, "own_bytes", out.alias("out_file"))
 
 
@@ -97,41 +101,62 @@ def plan_compaction(conns: DataFrame, listings: DataFrame, target_bytes: int = T
     bytes), ``n_known`` (files of known size), ``mean_size`` (NULL if none),
     ``n_pairs`` (distinct live pairs), ``copied_pairs`` (pairs the plan reads:
     equal to ``n_pairs``), ``out_nfile``, ``out_totstoragesize``, ``out_max``
-    (largest output file). A connection without live files has zeros.
+    (largest output file). A connection without live files has zeros. All
+    figures, those of the files as they are too, are added up over the packed
+    output files, in which every live file has its place (files that hold no
+    pair of their own: the place NULL).
     """
-    owned = own_pairs(live_data_files(listings))
-    packed = pack_files(owned, target_bytes, open_cost)
-    before = owned.groupBy("loc").agg(
-        F.count(F.lit(1)).alias("nfile"),
-        F.sum("size_bytes").alias("totstoragesize"),
-        F.count("size_bytes").alias("n_known"),
-        F.sum("own_pairs").alias("n_pairs"),
-    )
+    packed = pack_files(own_pairs(live_data_files(listings)), target_bytes, open_cost, every_file=True)
     # Two steps, so that a location with most of the files is combined before it is one row.
-    outs = packed.groupBy("loc", "out_file").agg(F.sum("own_bytes").alias("_b"), F.sum("own_pairs").alias("_p"))
-    after = outs.groupBy("loc").agg(
-        F.count(F.lit(1)).alias("out_nfile"),
-        F.sum("_b").alias("out_totstoragesize"),
-        F.max("_b").alias("out_max"),
-        F.sum("_p").alias("copied_pairs"),
+    outs = packed.groupBy("loc", "out_file").agg(
+        F.sum("own_bytes").alias("_b"), F.sum("own_pairs").alias("_p"), F.count(F.lit(1)).alias("_f"), F.sum("size_bytes").alias("_s"), F.count("size_bytes").alias("_k")
     )
+    placed = F.col("out_file").isNotNull()
+    after = outs.groupBy("loc").agg(
+        F.sum("_f").alias("nfile"), F.sum("_s").alias("totstoragesize"), F.sum("_k").alias("n_known"), F.sum("_p").alias("n_pairs"),
+        F.count("out_file").alias("out_nfile"), F.sum(F.when(placed, F.col("_b"))).alias("out_totstoragesize"), F.max(F.when(placed, F.col("_b"))).alias("out_max"),
+        F.sum(F.when(placed, F.col("_p"))).alias("copied_pairs"),
+    )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
     known = conns.select("conn_id", plain_location(F.col("loc")).alias("loc"))
-    joined = known.join(before, "loc", "left").join(after, "loc", "left")
+    joined = known.join(after, "loc", "left")
     return joined.select(
         "conn_id", "loc", zero("nfile"), zero("totstoragesize"), zero("n_known"),
-        (F.col("totstoragesize") / F.col("n_known")).alias("mean_size"),
+        (F.col("totstoragesize") / F.nullif(F.col("n_known"), F.lit(0))).alias("mean_size"),
         *[zero(c) for c in ("n_pairs", "copied_pairs", "out_nfile", "out_totstoragesize", "out_max")],
     )
 
 
+def _fingerprint(df: DataFrame) -> list[Column]:
+    each = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in t else F.col(f"`{c}`") for c, t in df.dtypes]) if df.columns else F.lit(0)
+    return [F.count(F.lit(1)).alias("n"), F.sum(each.cast("decimal(38,0)")).alias("sum")]
+
+
 def fingerprint(df: DataFrame) -> tuple[int, int]:
     """Row count and an order-free checksum over all columns."""
-    each = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in t else F.col(f"`{c}`") for c, t in df.dtypes]) if df.columns else F.lit(0)
-    row = df.agg(F.count(F.lit(1)), F.sum(each.cast("decimal(38,0)"))).first()
+    row = df.agg(*_fingerprint(df)).first()
     return row[0], int(row[1] or 0)
 
 
+def _folders(spark: SparkSession, src: str, fmt: str) -> list[tuple[str, int, int, list[str]]]:
+    """(folder below ``src``, files, bytes, paths to read) of every folder that holds data files.
+
+    Files are listed and added up by the engine's tasks; one row a folder comes
+    to the driver. Only of a folder that has sub-folders beside its files the
+    files are named one by one.
+    """
+    root = full_path(spark, src).rstrip("/")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(src)
+    at = F.regexp_replace("path", "/[^/]*$", "")
+    rows = sorted((r["at"], r["n"], r["b"]) for r in listed.groupBy(at.alias("at")).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("b")).collect())
+    out = []
+    for folder, n, b in rows:
+        mixed = any(other != folder and other.startswith(f"{folder}/") for other, _, _ in rows)
+        paths = [r["path"] for r in listed.where(at == folder).select("path").collect()] if mixed else [folder]
+        out.append((folder[len(root) :].strip("/"), n, b, paths))
+    return out
+
+
 def compact_dataset(
     spark: SparkSession,
     src: str,
@@ -141,42 +166,64 @@ def compact_dataset(
     target_bytes: int = TARGET_BYTES,
     open_cost: int = OPEN_COST,
     overwrite: bool = False,
+    at_once: int = 8,
 ) -> dict:
     """Rewrite the files of ``src`` as fewer, well-sized files of ``dst``; returns what was done.
 
-    The number of output files is that of the engine's combined splits: one
-    write task each, no shuffle. Output goes to ``<dst>_staging`` first and is
-    moved only if row count and checksum equal those of the source; otherwise
-    it is deleted and an error raised. An empty source gives an empty dataset
+    Every folder of ``src`` that holds files (a bin or partition folder, say)
+    becomes the same folder of ``dst``, so the layout is kept; ``at_once``
+    folders are worked on at a time. The number of output files is that of the
+    engine's combined splits: one write task each, no shuffle. Output goes to
+    ``<dst>_staging`` first and takes the place of ``dst`` only if row count
+    and checksum of every folder equal those of its source, which are taken
+    while it is copied; otherwise it is deleted and an error raised. Metadata
+    of a kept collection goes with it. An empty source gives an empty dataset
     with the same schema.
     """
-    files = list_files(spark, src)
-    total = sum(size for _, size in files)
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark.sql import Observation
+
     if path_exists(spark, dst) and not overwrite:
         raise FileExistsError(f"{dst} exists; backing out")
-    want = max(1, math.ceil(total / target_bytes))
+    folders = _folders(spark, src, fmt)
     conf = {
         "spark.sql.files.maxPartitionBytes": str(max(1, target_bytes)),
         "spark.sql.files.openCostInBytes": str(open_cost),
-        "spark.sql.files.minPartitionNum": str(want),
+        "spark.sql.files.minPartitionNum": "1",
     }
     kept = {k: spark.conf.get(k, None) for k in conf}
     staging = f"{dst.rstrip('/')}_staging"
+    if path_exists(spark, staging):
+        remove_path(spark, staging)
+
+    def copy(folder: tuple[str, int, int, list[str]]) -> int:
+        name, _, _, paths = folder
+        data = spark.read.format(fmt).load(paths)
+        seen = Observation()
+        to = f"{staging}/{name}".rstrip("/")
+        data.observe(seen, *_fingerprint(data)).write.mode("append").format(fmt).save(to)
+        source = seen.get["n"], int(seen.get["sum"] or 0)
+        # a folder with sub-folders is read file by file again
+        written = fingerprint(spark.read.schema(data.schema).format(fmt).option("recursiveFileLookup", str(len(paths) == 1).lower()).load(to if len(paths) == 1 else [f for f, _ in list_files(spark, to)]))
+        if source != written:
+            raise RuntimeError(f"staged output differs from {src}/{name}: {written} against {source}")
+        return written[0]
+
     try:
         for k, v in conf.items():
             spark.conf.set(k, v)
-        data = spark.read.format(fmt).load(src)
-        data.write.mode("overwrite").format(fmt).save(staging)
-        source = fingerprint(data)
-        written = fingerprint(spark.read.schema(data.schema).format(fmt).load(staging))
+        with ThreadPoolExecutor(max(1, min(at_once, len(folders)))) as pool:
+            rows = sum(pool.map(copy, folders))
+    except Exception:
+        if path_exists(spark, staging):
+            remove_path(spark, staging)
+        raise
     finally:
         for k, v in kept.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    if source != written:
-        remove_path(spark, staging)
-        raise RuntimeError(f"staged output differs from {src}: {written} against {source}")
-    if path_exists(spark, dst):
-        remove_path(spark, dst)
-    rename_path(spark, staging, dst)
-    after = list_files(spark, dst)
-    return {"nfile": len(files), "totstoragesize": total, "out_nfile": len(after), "out_totstoragesize": sum(s for _, s in after), "rows": written[0]}
+    if path_exists(spark, f"{src}/_meta"):
+        copy_path(spark, f"{src}/_meta", f"{staging}/_meta")
+    after = file_totals(spark, staging)
+    swap_path(spark, staging, dst.rstrip("/"))
+    return {"nfile": sum(n for _, n, _, _ in folders), "totstoragesize": sum(b for _, _, b, _ in folders), "out_nfile": after[0], "out_totstoragesize": after[1], "rows": rows, "folders": len(folders)}

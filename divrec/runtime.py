@@ -63,6 +63,29 @@ def rename_path(spark: SparkSession, src: str, dst: str) -> None:
         raise OSError(f"cannot rename {src} to {dst}")
 
 
+def swap_path(spark: SparkSession, new: str, loc: str) -> None:
+    """``new`` takes the place of ``loc``; the old folder is deleted only after that."""
+    old = f"{loc.rpartition('/')[0]}/_old-{uuid.uuid4().hex}"  # hidden from readers
+    if path_exists(spark, loc):
+        rename_path(spark, loc, old)
+        rename_path(spark, new, loc)
+        remove_path(spark, old)
+    else:
+        rename_path(spark, new, loc)
+
+
+def copy_path(spark: SparkSession, src: str, dst: str) -> None:
+    fs, p = _filesystem(spark, src)
+    to = spark._jvm.org.apache.hadoop.fs.Path(dst)
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, p, to.getFileSystem(spark._jsc.hadoopConfiguration()), to, False, spark._jsc.hadoopConfiguration())
+
+
+def full_path(spark: SparkSession, path: str) -> str:
+    """``path`` with scheme and authority, as the engine names files."""
+    fs, p = _filesystem(spark, path)
+    return fs.makeQualified(p).toString()
+
+
 def glob_files(spark: SparkSession, pattern: str) -> list[str]:
     """Paths of the files that match a pattern, in order of their names."""
     fs, p = _filesystem(spark, pattern)

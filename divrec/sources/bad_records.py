@@ -3,8 +3,10 @@
 Every line is read permissively under an explicit schema (all columns of its
 format as text, plus the raw text of corrupt lines) inside the JVM. Lines the
 permissive reader refuses, and lines it can't be trusted with (quote marks,
-line breaks), are classified again by quoting, column count and casts; only
-lines holding a quote mark or a line break go through Python, in Arrow batches.
+line breaks, lines of LONG characters or more), are classified again by
+quoting, column count and casts. All rows pass the Arrow exchange with Python,
+in which a line that needs no second look is a NULL; reading the input twice
+would cost more.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from divrec.runtime import fresh, require_columns
 #: Formats are turned into column expressions, so there must be few of them.
 MAX_FORMATS = 1000
 INT_MAX = 2147483647
+#: Lines of so many characters are split exactly instead of by the permissive reader, whose columns are limited: shorter ones have fewer.
+LONG = 100_000
 LOGICALS = ("TRUE", "FALSE", "T", "F", "true", "false")
 MISSING = ("", "NA")
 
@@ -156,18 +160,18 @@ def classify_records(lines: DataFrame, formats: DataFrame, *, line: str = "raw_l
         schema = ", ".join([*(f"c{i} string" for i in range(n)), "_corrupt string"])
         parsed = F.from_csv(text, schema, {
             "sep": sep, "quote": quote or "\u0000", "escape": quote or "\u0000", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt",
-            "maxColumns": "100000", "nullValue": "\u0001", "emptyValue": "",
+            "maxColumns": str(LONG), "nullValue": "\u0001", "emptyValue": "",
         })
         read = F.struct(F.array(*[parsed[f"c{i}"] for i in range(n)]).alias("fields"), parsed["_corrupt"].isNotNull().alias("corrupt"))
         perm = perm.when((of("sep") == sep) & (of("quote") == quote) & (n_cols == n), read)
     plain = blanks | F.concat_ws("\u0001", of("sep"), of("quote"), n_cols.cast("string")).isin([f"{a}\u0001{q}\u0001{n}" for a, q, n in sorted(trusted)])
-    doubtful = F.coalesce(strange | ~plain, F.lit(False))
+    doubtful = F.coalesce(strange | ~plain | (F.length(text) >= LONG), F.lit(False))
     rows = rows.withColumn(f"{f}d", _once(doubtful))
     rows = rows.withColumns({f"{f}p": F.when(~F.col(f"{f}d"), perm), f"{f}t": F.when(F.col(f"{f}d"), text)})
 
     # Step 2: lines the reader can't be trusted with are split again, exactly.
     kind = T.StructType([T.StructField("fields", T.ArrayType(T.StringType())), T.StructField("sound", T.BooleanType())])
-    rows = rows.withColumn(f"{f}a", F.arrow_udf(_resplit_columns, kind)(of("sep"), of("quote"), F.col(f"{f}t")))
+    rows = rows.withColumn(f"{f}a", F.arrow_udf(_resplit_columns, kind)(*[F.when(F.col(f"{f}d"), of(c)) for c in ("sep", "quote")], F.col(f"{f}t")))
 
     # Step 3: the reasons, in order.
     again, read = F.col(f"{f}a"), F.col(f"{f}p")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from divrec.operators.division import KEY, Division
-from divrec.runtime import file_totals, path_exists, read_text_file, remove_path, rename_path, stage, write_text_file
+from divrec.runtime import file_totals, path_exists, read_text_file, remove_path, rename_path, stage, swap_path, write_text_file
 
 BIN = "_bin"
 
@@ -70,7 +70,7 @@ class DiskConnection:
             if path_exists(spark, f"{self.loc}_bak"):
                 remove_path(spark, f"{self.loc}_bak")
             rename_path(spark, self.loc, f"{self.loc}_bak")
-        swap(spark, new, self.loc)
+        swap_path(spark, new, self.loc)
         return self.read(spark)
 
     def read(self, spark: SparkSession) -> DataFrame:
@@ -94,12 +94,12 @@ class DiskConnection:
             attrs = self.load_attributes(spark)
             if attrs:
                 _save_attributes(spark, new, attrs)
-            swap(spark, new, self.loc)
+            swap_path(spark, new, self.loc)
             return
         for b in touched:  # at most the number of bins
             here, there = f"{new}/{BIN}={b}", f"{self.loc}/{BIN}={b}"
             if path_exists(spark, here):
-                swap(spark, here, there)
+                swap_path(spark, here, there)
             elif path_exists(spark, there):
                 remove_path(spark, there)
         remove_path(spark, new)
@@ -139,17 +139,6 @@ def key_bin(key: Column, n: int) -> Column:
     return F.pmod(F.hash(key.cast("string")), F.lit(n))
 
 
-def swap(spark: SparkSession, new: str, loc: str) -> None:
-    """``new`` takes the place of ``loc``; the old folder is deleted only after that."""
-    old = f"{loc.rpartition('/')[0]}/_old-{uuid.uuid4().hex}"  # hidden from readers
-    if path_exists(spark, loc):
-        rename_path(spark, loc, old)
-        rename_path(spark, new, loc)
-        remove_path(spark, old)
-    else:
-        rename_path(spark, new, loc)
-
-
 def _save_attributes(spark: SparkSession, loc: str, attrs: dict) -> None:
     plain = {k: v for k, v in attrs.items() if isinstance(v, (str, int, float, bool, list, dict, type(None)))}
     write_text_file(spark, f"{loc}/_meta/attrs.json", json.dumps(plain, default=str))

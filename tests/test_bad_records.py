@@ -83,3 +83,12 @@ def test_split_record():
     assert split_record('a,"b""c",', ",", '"') == (["a", 'b"c', ""], True)
     assert split_record("a \t b", "", '"') == (["a", "b"], True)
     assert split_record("", ",", '"') == ([""], True)
+
+
+def test_more_fields_than_the_reader_takes(spark):
+    """No line stops the job, however many fields it has."""
+    specs = [{"format_id": 1, "sep": ",", "dec_mark": ".", "quote_mark": '"', "header_line": "a,b", "colnames": ["a", "b"], "colclasses": ["integer", "character"], "rowsperblock": 10}, {"format_id": 2, "sep": "", "dec_mark": ".", "quote_mark": "", "header_line": None, "colnames": ["a"], "colclasses": ["integer"], "rowsperblock": 10}]
+    formats = spark.createDataFrame(specs, "format_id int, sep string, dec_mark string, quote_mark string, header_line string, colnames array<string>, colclasses array<string>, rowsperblock int")
+    rows = [(1, "f", 1, 1, "1,x"), (2, "f", 2, 1, "," * 200_000), (3, "f", 3, 1, "1," + "y" * 300_000), (4, "f", 4, 1, "1" + ",2" * 99_990), (5, "f", 5, 2, "1 " * 200_000), (6, "f", 6, 1, '1,"' + "z," * 150_000 + '"')]
+    got = classify_records(spark.createDataFrame(rows, "line_id bigint, file_name string, line_no int, format_id int, raw_line string"), formats)
+    assert {r["line_id"]: r["reason"] for r in got.select("line_id", "reason").collect()} == {1: None, 2: "columns", 3: None, 4: "columns", 5: "columns", 6: None}

@@ -87,3 +87,31 @@ def test_compact_dataset(spark, tmp_path):
 def test_repeated_rows_stay(spark, tmp_path):
     spark.createDataFrame([(1, None)] * 30, "a int, b string").repartition(6).write.parquet(f"{tmp_path}/s")
     assert compact_dataset(spark, f"{tmp_path}/s", f"{tmp_path}/d")["rows"] == 30
+
+
+def test_folders_keep_their_layout(spark, tmp_path):
+    """Bins and partitions, nested, with metadata; a folder with files of its own beside sub-folders."""
+    from divrec.operators.division import KEY, divide
+    from divrec.sources.connections import DiskConnection, convert, open_division
+
+    div = divide(spark.range(900).select("id", (F.col("id") % 7).alias("g")).repartition(9), "g")
+    convert(div, DiskConnection(f"{tmp_path}/src", n_bins=3))
+    done = compact_dataset(spark, f"{tmp_path}/src", f"{tmp_path}/dst")
+    assert done["rows"] == 900 and done["nfile"] > done["out_nfile"] == done["folders"] <= 3
+    back = open_division(spark, f"{tmp_path}/dst")
+    assert back.split_cols == ("g",) and DiskConnection(f"{tmp_path}/dst").read_key(spark, "g=3").count() == back.rows().where(F.col(KEY) == "g=3").count() > 0
+    spark.range(60).select("id", (F.col("id") % 3).cast("string").alias("p"), F.lit("007").alias("q")).repartition(20).write.partitionBy("p", "q").parquet(f"{tmp_path}/part")
+    done = compact_dataset(spark, f"{tmp_path}/part", f"{tmp_path}/whole")
+    assert (done["nfile"] > 3, done["out_nfile"], done["rows"]) == (True, 3, 60) and (tmp_path / "whole" / "p=2" / "q=007").is_dir()
+    assert compact_dataset(spark, f"{tmp_path}/part", f"{tmp_path}/whole", overwrite=True)["out_nfile"] == 3
+    spark.range(5).write.parquet(f"{tmp_path}/mixed/sub")
+    spark.range(8).repartition(4).write.mode("append").parquet(f"{tmp_path}/mixed")
+    done = compact_dataset(spark, f"{tmp_path}/mixed", f"{tmp_path}/mixed2")
+    assert done["rows"] == 13 and (tmp_path / "mixed2" / "sub").is_dir()
+
+
+def test_files_of_unknown_range_are_kept_whole(spark):
+    conns = spark.createDataFrame([(1, "/a")], "conn_id bigint, loc string")
+    rows = [listing(1, "/a", "f1", 100, 5, 1), listing(2, "/a", "f2", 70, None, 1), listing(3, "/a", "f3", 30, 5, None), listing(4, "/a", "f4", 9, 2, 2), listing(5, "/a", "f5", 9, 0, 9)]
+    r = plan_compaction(conns, spark.createDataFrame(rows, LIST)).first()
+    assert (r["nfile"], r["totstoragesize"], r["n_pairs"], r["copied_pairs"], r["out_nfile"], r["out_totstoragesize"]) == (5, 218, 5, 5, 1, 200)
