@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from divrec.operators import agnostic as ag
 from divrec.operators.combine import comb_collect, comb_ddf, comb_ddo, comb_mean, comb_mean_coef, comb_rbind, recombine
 from divrec.operators.division import KEY, Pair, add_transform, cond_div, ddf, ddo, divide, dr_filter, dr_join, dr_lapply, dr_persist, dr_sample, dr_subset, joined_lists, rr_div, to_ddf
-from divrec.operators.mapreduce import Reduce, counters, mr_exec
+from divrec.operators.mapreduce import Control, Reduce, counters, mr_exec
 from divrec.operators.models import dr_blb, dr_glm, dr_lm
 from divrec.plans.common import table
 from divrec.runtime import shared_dir
-from divrec.sources.connections import DiskConnection, add_data, convert, make_extractable, open_division, remove_data
+from divrec.sources.connections import DiskConnection, add_data, char_to_output, convert, hdfs_conn, local_disk_conn, make_extractable, open_division, remove_data
 from divrec.sources.text import read_csv, read_csv2, read_delim, read_delim2, read_table, read_text_chunks
 from divrec.streaming.ingest import ingest_files
 
@@ -439,6 +439,230 @@ def stream_append(s, d):
     return conn.read(s).groupBy(F.col(KEY).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("orders"))
 
 
+def hdfs_roundtrip(s, d):
+    """A collection in bins on a file system named by a URL."""
+    loc = _scratch(s, "url")
+    conn = hdfs_conn(loc if "://" in loc else f"file://{loc}", n_bins=5)
+    convert(divide(table(s, d, "orders"), "o_orderpriority"), conn)
+    return open_division(s, conn).rows().groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("orders"))
+
+
+def memory_convert(s, d):
+    """A collection kept in the session."""
+    return convert(divide(table(s, d, "orders"), "o_orderstatus"), None).rows().groupBy(F.col(KEY).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def overwrite_backup(s, d):
+    """A second write that keeps the first beside it, and a third that is refused."""
+    conn = local_disk_conn(_scratch(s, "twice"))
+    rows = divide(table(s, d, "orders"), "o_orderstatus").rows()
+    conn.write(rows)
+    conn.write(rows.where("o_orderstatus = 'F'"), overwrite="backup")
+    try:
+        conn.write(rows)
+        refused = False
+    except FileExistsError:
+        refused = True
+    n, old = conn.read(s).count(), DiskConnection(f"{conn.loc}_bak").read(s).count()
+    return s.createDataFrame([("now", n, refused), ("backup", old, refused)], "what string, n bigint, refused boolean")
+
+
+def recombine_to_path(s, d):
+    """A recombined table written where a text says."""
+    out = char_to_output(_scratch(s, "result"))
+    recombine(add_transform(_by_flags(s, d), agg={"n": F.count(F.lit(1))}), comb_rbind(), output=out.loc)
+    return out.read(s)
+
+
+def bins_every_key(s, d):
+    """Every number key of a collection in bins, looked up one by one."""
+    conn = DiskConnection(_scratch(s, "bins"), n_bins=7)
+    conn.write(table(s, d, "customer").select(F.col("c_nationkey").cast(BIG).alias(KEY), "c_custkey", "c_acctbal"))
+    parts = [conn.read_key(s, k) for k in range(25)]  # the nations
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows.groupBy(F.col(KEY).alias("nation")).agg(F.count(F.lit(1)).alias("n"), R(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+def stream_into_kept(s, d):
+    """Files streamed into a collection that holds rows already, pairs added and removed after that; its attributes follow."""
+    base, orders = _scratch(s, "grow"), table(s, d, "orders")
+    conn = DiskConnection(f"{base}/out", n_bins=4)
+    convert(ag.update_attributes(divide(orders, "o_orderstatus")), conn)
+    orders.withColumn("o_orderstatus", F.lower("o_orderstatus")).repartition(3).write.parquet(f"{base}/in")
+    for _ in range(2):  # the second run finds nothing new
+        ingest_files(s, f"{base}/in", conn, orders.schema, ["o_orderstatus"], checkpoint=f"{base}/state")
+    add_data(s, conn, divide(orders.withColumn("o_orderstatus", F.lit("all")), "o_orderstatus").rows())
+    remove_data(s, conn, ["o_orderstatus=O"])
+    back = open_division(s, conn)
+    rows = back.rows().groupBy(*back.split_cols).agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("orders"))
+    return rows.withColumn("n_row", F.lit(back.nrow()).cast(BIG)).withColumn("n_div", F.lit(len(back)).cast(BIG))
+
+
+def subset_variables(s, d):
+    """Between-subset and split variables of single subsets, with their descriptions."""
+    div = divide(table(s, d, "orders"), "o_orderstatus", bsv=lambda f: {"n": (len(f), "rows"), "top": (float(f["o_totalprice"].max()), "largest price")})
+    desc = dict(zip(div.bsv_info()["name"], div.bsv_info()["desc"]))
+    rows = []
+    for key in [r[0] for r in div.get_keys().collect()]:  # three
+        b, v = div.get_bsvs(key), div.get_split_vars(key)
+        rows.append((key, v["o_orderstatus"], b["n"], b["top"], desc["top"]))
+    return s.createDataFrame(rows, "key string, status string, n bigint, top double, description string")
+
+
+def join_function(s, d):
+    """A function of each joined pair; a source without a name among named ones, and one that is no division."""
+    c = divide(table(s, d, "customer").select(F.col("c_nationkey").alias("nation"), "c_acctbal"), "nation")
+    n = divide(table(s, d, "nation").select(F.col("n_nationkey").alias("nation"), "n_name"), "nation")
+    try:
+        dr_join(a=c, b=c.rows())
+        raise RuntimeError("a table was taken for a division")
+    except TypeError:
+        pass
+    res = dr_join(n, customer=c, post=lambda v: {"name": v["unnamedDataSource1"]["n_name"].iloc[0], "n": len(v.get("customer", []))}, schema="name string, n bigint")
+    return res.rows().select(F.col(KEY).alias("key"), "name", "n")
+
+
+def moments_local(s, d):
+    """Moments of each subset by a function on its frame."""
+    div = divide(table(s, d, "customer").select("c_nationkey", "c_acctbal"), "c_nationkey")
+
+    calculate, statistics = ag.calculate_moments, ag.moments_to_statistics
+
+    def stats(v):
+        m = calculate(v["c_acctbal"], 4)
+        return {"n": m["n"], **statistics(m)}
+
+    res = add_transform(div, stats, schema="n double, mean double, var double, skewness double, kurtosis double")
+    return res.rows().select("c_nationkey", "n", R("mean").alias("mean"), R("var", 2).alias("var"), R("skewness").alias("skewness"), R("kurtosis").alias("kurtosis"))
+
+
+def mr_control(s, d):
+    """Map and reduce with sized tasks and values combined in the map tasks."""
+    def m(keys, values, collect, counter, source):
+        for v in values:
+            for k, n in v["o_orderpriority"].value_counts().items():
+                collect(k, int(n))
+
+    red = Reduce(lambda st, k, vs: st + sum(vs), lambda st, k, collect: collect(k, {"n": st}), lambda k: 0, lambda k, vs: [sum(vs)])
+    res = mr_exec(divide(table(s, d, "orders").select("o_custkey", "o_orderpriority"), rr_div(500, identity=["o_custkey"])), m, red, "n bigint", control=Control(map_bytes=1 << 22, reduce_bytes=1 << 20, partitions=6))
+    return res.rows().withColumnRenamed(KEY, "key")
+
+
+def mr_reduce_counters(s, d):
+    """Counters of every phase."""
+    def m(keys, values, collect, counter, source):
+        for v in values:
+            counter("map", "rows", len(v))
+            collect("all", len(v))
+
+    def step(st, k, vs, collect, counter):
+        counter("reduce", "values", len(vs))
+        return st + sum(vs)
+
+    def post(st, k, collect, counter):
+        counter("post", "keys")
+        collect(k, st)
+
+    return counters(mr_exec(divide(table(s, d, "orders"), "o_orderpriority"), m, Reduce(step, post, lambda k: 0), "value bigint"))
+
+
+def get_keys(s, d):
+    return divide(table(s, d, "orders"), ["o_orderstatus", "o_orderpriority"]).get_keys().withColumnRenamed(KEY, "key")
+
+
+def summary_attribute(s, d):
+    """The summary kept as an attribute: missing values of every column, and the levels of the text columns."""
+    got = ag.update_attributes(divide(table(s, d, "census").select("occupation", "sex", "race", "age", "collected_at"), "occupation")).summary()
+    return s.createDataFrame([(c, x["nna"], len(x["freqTable"]) if "freqTable" in x else None, x["freqTable"][0][0] if "freqTable" in x else None) for c, x in got.items()], "variable string, nna bigint, n_levels bigint, top string")
+
+
+def first_pair(s, d):
+    """The example pair, whether pairs can be looked up, and pairs by position."""
+    div = divide(table(s, d, "orders"), "o_orderpriority").pipe(add_transform, columns={"half": F.col("o_totalprice") / 2})
+    pairs = [div.kv_example(), *div.extract([0, 1, -1, 99])]
+    return s.createDataFrame([(i, p.key if p else None, len(p.value) if p else 0, div.has_extractable_kv()) for i, p in enumerate(pairs)], "place int, key string, n bigint, extractable boolean")
+
+
+def as_list(s, d):
+    pairs = add_transform(divide(table(s, d, "nation"), "n_regionkey"), agg={"n": F.count(F.lit(1))}).to_list()
+    return s.createDataFrame([(p.key, int(p.value["n"].iloc[0])) for p in pairs], "key string, n bigint")
+
+
+def printed(s, d):
+    """What printing a division shows, line by line."""
+    div = ag.update_attributes(divide(table(s, d, "nation"), "n_regionkey"))
+    return s.createDataFrame([(i, line) for i, line in enumerate(repr(div).split("\n"))], "line int, text string")
+
+
+def split_size_distn(s, d):
+    r = ag.split_size_distn(divide(table(s, d, "nation"), "n_regionkey"))
+    return r.select("totObjectSize", "ndiv", F.posexplode("splitsizedistn").alias("pct", "size")).select(F.col("totObjectSize").alias("bytes"), "ndiv", F.col("pct").cast("int").alias("pct"), R("size").alias("size"))
+
+
+def lm_factor(s, d):
+    """Linear models with a text predictor."""
+    fit = dr_lm(divide(table(s, d, "orders"), "o_orderstatus"), "o_totalprice", ["o_orderpriority"])
+    return recombine(fit, comb_rbind()).select("o_orderstatus", "term", R("coef", 3).alias("coef"), "n")
+
+
+def glm_score(s, d):
+    """The score equations of logistic regressions with a factor, at the fitted coefficients: all zero."""
+    census = table(s, d, "census").select("race", "incomebin", "age", "sex")
+    fit = dr_glm(divide(census, "race"), "incomebin", ["age", "sex"], "binomial").rows()
+    wide = fit.groupBy("race").agg(F.map_from_entries(F.collect_list(F.struct("term", "coef"))).alias("b"))
+    clean_age = F.when(~F.isnan(F.col("age").cast("double")), F.col("age").cast("double"))
+    rows = census.withColumn("age", clean_age).where("age is not null and sex is not null and incomebin is not null")
+    rows = rows.join(F.broadcast(wide), census["race"].eqNullSafe(wide["race"])).drop(wide["race"])  # one row a subset
+    of_sex = F.map_filter("b", lambda k, v: k == F.concat(F.lit("sex"), F.col("sex")))
+    eta = F.col("b")["(Intercept)"] + F.col("b")["age"] * F.col("age") + F.coalesce(F.get(F.map_values(of_sex), F.lit(0)), F.lit(0.0))
+    off = F.col("incomebin") - 1 / (1 + F.exp(-eta))
+    return rows.withColumn("off", off).groupBy("race").agg((R(F.sum("off"), 3) + 0.0).alias("s0"), (R(F.sum(F.col("off") * F.col("age")) / 100, 3) + 0.0).alias("s_age"))
+
+
+def quantile_infinite(s, d):
+    """Infinite values count in the end bins."""
+    q = ag.dr_quantile(_lineitem(s, d), "l_extendedprice", probs=[0.25, 0.5, 0.75], n_bins=1000, transform=lambda c: F.when(c > 0, c), var_range=None)
+    inf = ag.dr_quantile(_lineitem(s, d).withColumn("v", F.when(F.col("l_linenumber") == 7, float("inf")).otherwise(F.col("l_extendedprice"))), "v", probs=[0.25, 0.5, 0.75], n_bins=1000)
+    return q.select(F.lit("finite").alias("what"), "fval", R("q").alias("q")).unionByName(inf.select(F.lit("infinite").alias("what"), "fval", R("q").alias("q")))
+
+
+def read_csv_quoted_lines(s, d):
+    """Names with line ends, separators, marks and comment marks in quotes; blank lines and comments between."""
+    path = _scratch(s, "quoted")
+    p = table(s, d, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
+    text = F.concat(F.lit('"'), "p_brand", F.lit('\n, ""x"" #1"'))
+    line = F.concat_ws(",", F.col("p_partkey").cast("string"), text, F.col("p_size").cast("string"), F.format_string("%.2f", "p_retailprice"))
+    extra = F.when(F.col("p_partkey") % 50 == 0, "\n\n# a note, \"here").otherwise("")
+    lines = p.select(F.col("p_partkey").alias("at"), F.concat(line, extra).alias("value")).union(s.createDataFrame([(-1, "p_partkey,p_brand,p_size,p_retailprice")], "at bigint, value string"))
+    lines.repartition(1).sortWithinPartitions("at").select("value").write.text(path)
+    div = read_csv(s, path, comment="#", rows_per_block=100)
+    rows = div.rows().withColumn("p_brand", F.regexp_extract("p_brand", "^(.*)\n, \"x\" #1$", 1))
+    return rows.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.sum("p_partkey").cast(BIG).alias("keys"), F.sum("p_size").cast(BIG).alias("sizes"), R(F.sum("p_retailprice"), 2).alias("price"))
+
+
+def read_csv_late_misfit(s, d):
+    """A value past the inferred lines that misfits its column: an error, and with a schema it is read."""
+    path = _scratch(s, "late")
+    s.range(1501).select(F.when(F.col("id") == 0, "v").when(F.col("id") == 1500, "hello").otherwise(F.col("id").cast("string")).alias("value"), "id").repartition(1).sortWithinPartitions("id").select("value").write.text(path)
+    try:
+        read_csv(s, path).rows().collect()
+        stopped = False
+    except Exception as e:
+        stopped = "not int in column v" in str(e)
+    return read_csv(s, path, schema="v string").rows().agg(F.count("v").alias("n"), F.max("v").alias("top")).withColumn("stopped", F.lit(stopped))
+
+
+def chunked_text_keys(s, d):
+    """Blocks of whole records under keys of their own."""
+    path = _scratch(s, "chunks")
+    p = table(s, d, "part").select("p_partkey", F.concat(F.lit("part "), F.col("p_partkey").cast("string"), F.lit("\nsize "), F.col("p_size").cast("string"), F.lit("\nend")).alias("value"))
+    p.repartition(1).sortWithinPartitions("p_partkey").select("value").write.text(path)
+    div = read_text_chunks(s, path, lambda v: {"n": sum(x == "end" for x in v), "sizes": sum(int(x[5:]) for x in v if x.startswith("size "))}, "n bigint, sizes bigint", lines_per_block=100, record_end="^end$", key_fn=lambda t: t.split("\n")[0])
+    return div.rows().groupBy(F.col(KEY).rlike("^part [0-9]+$").alias("named")).agg(F.sum("n").alias("n"), F.sum("sizes").alias("sizes"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -448,7 +672,9 @@ QUERIES = {
         comb_mean_vectors, comb_mean_coefficients, lm_simple, lm_two_predictors, glm_logistic, glm_gaussian, blb_mean, agg_count, agg_sum_two_way, agg_by, agg_max_unique,
         agg_missing, quantile_all, quantile_by, quantile_tails, quantile_transformed, hexbin, hexbin_by, summary_numeric, summary_categ, summary_datetime, split_row_distn,
         moments_merge, mr_range, mr_multi_source, mr_counters, mr_ddo_identity, single_frame, read_csv_roundtrip, read_csv2_roundtrip, read_delim_roundtrip,
-        read_delim2_roundtrip, read_table_blanks, read_blocks, chunked_text, stream_append,
+        read_delim2_roundtrip, read_table_blanks, read_blocks, chunked_text, stream_append, hdfs_roundtrip, memory_convert, overwrite_backup, recombine_to_path, bins_every_key,
+        stream_into_kept, subset_variables, join_function, moments_local, mr_control, mr_reduce_counters, get_keys, summary_attribute, first_pair, as_list, printed, split_size_distn,
+        lm_factor, glm_score, quantile_infinite, read_csv_quoted_lines, read_csv_late_misfit, chunked_text_keys,
     )
 }
 
@@ -487,7 +713,45 @@ def _moment_sql(c: str) -> str:
 _LM = """SELECT l_returnflag, l_linestatus, regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, count(*) AS n FROM lineitem GROUP BY 1, 2"""
 _LM_ROWS = f"""SELECT l_returnflag, l_linestatus, '(Intercept)' AS term, round(a, {{d}}) AS coef, n FROM ({_LM}) UNION ALL SELECT l_returnflag, l_linestatus, 'l_quantity', round(b, {{d}}), n FROM ({_LM})"""
 
+_TOP = "(SELECT {0} FROM census WHERE {0} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+
 ORACLES = {
+    "hdfs_roundtrip": "SELECT o_orderpriority, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS orders FROM orders GROUP BY 1",
+    "memory_convert": "SELECT 'o_orderstatus=' || o_orderstatus AS key, count(*) AS n FROM orders GROUP BY 1",
+    "overwrite_backup": "SELECT 'now' AS what, count(*) AS n, true AS refused FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'backup', count(*), true FROM orders",
+    "recombine_to_path": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2",
+    "bins_every_key": "SELECT CAST(c_nationkey AS BIGINT) AS nation, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY 1",
+    "stream_into_kept": """WITH r AS (SELECT o_orderstatus, o_orderkey FROM orders WHERE o_orderstatus <> 'O' UNION ALL SELECT lower(o_orderstatus), o_orderkey FROM orders UNION ALL SELECT 'all', o_orderkey FROM orders)
+ SELECT o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS orders, (SELECT count(*) FROM r) AS n_row, (SELECT count(DISTINCT o_orderstatus) FROM r) AS n_div FROM r GROUP BY 1""",
+    "subset_variables": "SELECT 'o_orderstatus=' || o_orderstatus AS key, o_orderstatus AS status, count(*) AS n, max(o_totalprice) AS top, 'largest price' AS description FROM orders GROUP BY 1, 2",
+    "join_function": "SELECT 'nation=' || n_nationkey AS key, n_name AS name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS n FROM nation",
+    "moments_local": """WITH m AS (SELECT c_nationkey, c_acctbal AS x, avg(c_acctbal) OVER (PARTITION BY c_nationkey) AS m FROM customer) SELECT c_nationkey, CAST(count(*) AS DOUBLE) AS n, round(avg(x), 4) AS mean, round(var_samp(x), 2) AS var,
+ round(avg(pow(x - m, 3)) / pow(avg(pow(x - m, 2)), 1.5), 4) AS skewness, round(avg(pow(x - m, 4)) / pow(avg(pow(x - m, 2)), 2), 4) AS kurtosis FROM m GROUP BY 1""",
+    "mr_control": "SELECT o_orderpriority AS key, count(*) AS n FROM orders GROUP BY 1",
+    "mr_reduce_counters": """SELECT 'map' AS "group", 'rows' AS field, count(*) AS n FROM orders UNION ALL SELECT 'reduce', 'values', count(DISTINCT o_orderpriority) FROM orders UNION ALL SELECT 'post', 'keys', 1""",
+    "get_keys": "SELECT DISTINCT 'o_orderstatus=' || o_orderstatus || '|o_orderpriority=' || o_orderpriority AS key FROM orders",
+    "summary_attribute": f"""SELECT 'sex' AS variable, count(*) - count(sex) AS nna, count(DISTINCT sex) AS n_levels, {_TOP.format('sex')} AS top FROM census
+ UNION ALL SELECT 'race', count(*) - count(race), count(DISTINCT race), {_TOP.format('race')} FROM census
+ UNION ALL SELECT 'age', count(*) - count(age), NULL, NULL FROM census UNION ALL SELECT 'collected_at', count(*) - count(collected_at), NULL, NULL FROM census""",
+    "first_pair": """WITH k AS (SELECT 'o_orderpriority=' || o_orderpriority AS key, count(*) AS n, row_number() OVER (ORDER BY o_orderpriority) AS i, count(*) OVER () AS c FROM orders GROUP BY o_orderpriority)
+ SELECT CAST(p AS INTEGER) AS place, key, coalesce(n, 0) AS n, true AS extractable FROM (SELECT 0 AS p, 1 AS w UNION ALL SELECT 1, 1 UNION ALL SELECT 2, 2 UNION ALL SELECT 3, (SELECT max(c) FROM k) UNION ALL SELECT 4, 100) LEFT JOIN k ON i = w""",
+    "as_list": "SELECT 'n_regionkey=' || n_regionkey AS key, count(*) AS n FROM nation GROUP BY 1",
+    "printed": """SELECT CAST(i AS INTEGER) AS line, t AS text FROM (SELECT 0 AS i, 'Distributed data frame: 2 columns' AS t UNION ALL SELECT 1, '  n_nationkey (int)' UNION ALL SELECT 2, '  n_name (string)' UNION ALL SELECT 3, '  divided: conditioning on n_regionkey'
+ UNION ALL SELECT 4, '  nRow: ' || count(*) FROM nation UNION ALL SELECT 5, '  nDiv: ' || count(DISTINCT n_regionkey) FROM nation UNION ALL SELECT 6, '  totStorageSize: not known')""",
+    "split_size_distn": f"""WITH g AS (SELECT n_regionkey, sum(length('{{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || ',"_key":"n_regionkey=' || n_regionkey || '"}}')) AS n FROM nation GROUP BY 1),
+ q AS (SELECT CAST(sum(n) AS BIGINT) AS bytes, count(*) AS ndiv, quantile_cont(n, [{', '.join(str(i / 100) for i in range(101))}]) AS l FROM g)
+ SELECT bytes, ndiv, CAST(unnest(range(0, 101)) AS INTEGER) AS pct, round(CAST(unnest(l) AS DOUBLE), 4) AS size FROM q""",
+    "lm_factor": """WITH g AS (SELECT o_orderstatus, o_orderpriority AS p, avg(o_totalprice) AS m FROM orders GROUP BY 1, 2), b AS (SELECT o_orderstatus, min(p) AS p0, arg_min(m, p) AS m0 FROM g GROUP BY 1), c AS (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1)
+ SELECT o_orderstatus, CASE WHEN p = p0 THEN '(Intercept)' ELSE 'o_orderpriority' || p END AS term, round(CASE WHEN p = p0 THEN m ELSE m - m0 END, 3) AS coef, n FROM g JOIN b USING (o_orderstatus) JOIN c USING (o_orderstatus)""",
+    "glm_score": "SELECT DISTINCT race, 0e0 AS s0, 0e0 AS s_age FROM census WHERE age IS NOT NULL AND sex IS NOT NULL AND incomebin IS NOT NULL",
+    "quantile_infinite": f"""SELECT 'finite' AS what, fval, round(q, 4) AS q FROM ({_quantile_sql('l_extendedprice', None, 'lineitem', 1000, '(SELECT unnest([0.25e0, 0.5e0, 0.75e0]) AS fval)')})
+ UNION ALL SELECT 'infinite', fval, round(q, 4) FROM (WITH r AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, (max(l_extendedprice) - min(l_extendedprice)) / 999e0 AS dl FROM lineitem WHERE l_linenumber <> 7),
+  b AS (SELECT CAST(ceil(((CASE WHEN l_linenumber = 7 THEN hi ELSE l_extendedprice END) - (lo - dl / 2e0)) / dl) AS INT) AS idx, count(*) AS f FROM lineitem, r GROUP BY ALL),
+  c AS (SELECT idx, sum(f) OVER (ORDER BY idx) / CAST(sum(f) OVER () AS DOUBLE) AS cp FROM b), s AS (SELECT fval, min(CASE WHEN cp >= fval THEN idx END) AS idx FROM c, (SELECT unnest([0.25e0, 0.5e0, 0.75e0]) AS fval) p GROUP BY ALL)
+  SELECT fval, lo + (idx - 1) * dl AS q FROM s, r)""",
+    "read_csv_quoted_lines": _PART,
+    "read_csv_late_misfit": "SELECT CAST(1500 AS BIGINT) AS n, 'hello' AS top, true AS stopped",
+    "chunked_text_keys": "SELECT true AS named, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS sizes FROM part",
     "divide_rbind_mean": "SELECT l_returnflag, l_linestatus, round(avg(l_quantity), 4) AS mean_qty FROM lineitem GROUP BY 1, 2",
     "divide_cond_counts": f"SELECT {_K2} AS key, count(*) AS n FROM lineitem GROUP BY 1",
     "divide_number_keys_whole": """WITH t AS (SELECT coalesce(CAST(educationnum AS VARCHAR), 'NA') AS e, CASE WHEN capgain IS NULL OR isnan(capgain) THEN 'NA'
