@@ -65,22 +65,24 @@ def quantiles(states: DataFrame, probs: DataFrame, interpolate: bool = False) ->
     ``q``. Without ``interpolate`` q is the smallest value v such that at least
     the fraction prob of the group's values are <= v (error 0); with it, the
     neighbouring order statistics at position (n - 1) * prob are interpolated.
-    Probs that are NULL or outside 0..1 are left out. A group without values
-    has no row; an empty table gives none.
+    Positions are exact decimal arithmetic on the probs as they are written
+    (0.035 is 35/1000, to 17 decimals), so no rounding of p * n picks a
+    neighbour, however large the group. Probs that are NULL or outside 0..1 are
+    left out. A group without values has no row; an empty table gives none.
     """
     wanted = probs.select("spec_id", F.array_distinct(F.filter("probs", lambda p: p.isNotNull() & (p >= 0) & (p <= 1))).alias("_probs"))
     placed = ordered_scan(states.select("spec_id", "grp", "value", "n"), ["spec_id", "grp"], ["value"], sums={"_cum": "n"})
     totals = placed.groupBy("spec_id", "grp").agg(F.max("_cum").alias("_n")).join(broadcast_if_small(wanted), "spec_id")
 
-    # Target positions from 1. Binary fractions such as 0.7 * 10 may lie a hair above the whole number that is meant.
-    def low(p, n):
-        return F.least(F.greatest(F.ceil(p * n - 1e-9), F.lit(1)), n) if not interpolate else F.floor((n - 1) * p + 1e-9) + 1
-
+    # Target positions from 1. decimal(18,17) times decimal(19,0) is exact in 38 digits.
     def target(p, n):
-        lo = low(p, n).cast("bigint")
-        hi = F.least(lo + 1, n).cast("bigint") if interpolate else lo
-        share = F.greatest((n - 1) * p - (lo - 1), F.lit(0.0)) if interpolate else F.lit(0.0)
-        return F.struct(p.alias("prob"), lo.alias("lo"), hi.alias("hi"), share.alias("share"))
+        whole, exact = n.cast("decimal(19,0)"), p.cast("string").cast("decimal(18,17)")
+        if interpolate:
+            at = exact * (n - 1).cast("decimal(19,0)")
+            lo = F.floor(at).cast("bigint") + 1
+            return F.struct(p.alias("prob"), lo.alias("lo"), F.least(lo + 1, n).alias("hi"), (at - F.floor(at)).cast("double").alias("share"))
+        lo = F.greatest(F.ceil(exact * whole).cast("bigint"), F.lit(1).cast("bigint"))
+        return F.struct(p.alias("prob"), lo.alias("lo"), lo.alias("hi"), F.lit(0.0).alias("share"))
 
     targets = totals.withColumn("_t", F.transform("_probs", lambda p: target(p, F.col("_n")))).drop("_probs")
     start, end = F.col("_cum") - F.col("n"), F.col("_cum")

@@ -139,10 +139,11 @@ _ONCE = """d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rec_id
 
 ORACLES = {
     "p1_found": f"""WITH {_ONCE} SELECT DISTINCT r.spec_id, r.grp, CAST(round(p.prob * 1000) AS INTEGER) AS prob_pm FROM r JOIN p ON r.spec_id = p.spec_id
- AND r.pos = greatest(1, ceil(p.prob * r.n - 1e-9)) WHERE r.value > p.lim""",
+ AND r.pos = greatest(1, ceil(CAST(CAST(p.prob AS VARCHAR) AS DECIMAL(18, 17)) * r.n)) WHERE r.value > p.lim""",
     "p1_percentiles": f"""WITH {_ONCE}, u AS (SELECT DISTINCT spec_id, prob FROM p),
- t AS (SELECT DISTINCT r.spec_id, r.grp, r.n, u.prob, CAST(floor((r.n - 1) * u.prob + 1e-9) AS BIGINT) + 1 AS lo FROM r JOIN u USING (spec_id)),
- e AS (SELECT t.*, a.value AS a, b.value AS b, greatest((t.n - 1) * t.prob - (t.lo - 1), 0) AS w FROM t
+ t AS (SELECT DISTINCT r.spec_id, r.grp, r.n, u.prob, CAST(CAST(u.prob AS VARCHAR) AS DECIMAL(18, 17)) * (r.n - 1) AS place FROM r JOIN u USING (spec_id)),
+ f AS (SELECT *, CAST(floor(place) AS BIGINT) + 1 AS lo FROM t),
+ e AS (SELECT t.*, a.value AS a, b.value AS b, CAST(place - floor(place) AS DOUBLE) AS w FROM f t
   JOIN r a ON a.spec_id = t.spec_id AND a.grp = t.grp AND a.pos = t.lo JOIN r b ON b.spec_id = t.spec_id AND b.grp = t.grp AND b.pos = least(t.lo + 1, t.n))
  SELECT spec_id, grp, CAST(round(prob * 1000) AS INTEGER) AS prob_pm, n, round(CASE WHEN w = 0 OR a = b THEN a ELSE a + w * (b - a) END, 6) AS q FROM e""",
     "p1_daily": f"""WITH {_ONCE} SELECT spec_id, grp, CAST(load_day AS VARCHAR) AS load_day, count(*) AS n, quantile_disc(value, 0.5) AS q FROM s GROUP BY ALL""",

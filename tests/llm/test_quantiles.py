@@ -80,3 +80,29 @@ def test_edges(spark):
 def test_first_delivery(spark):
     df = spark.createDataFrame([(1, 5.0, 2), (1, 4.0, 1), (None, 1.0, 1), (None, 1.0, 1)], "id int, v double, day int")
     assert sorted((r["day"], r["v"]) for r in first_deliveries(df, "id", ["v"], ["day"]).collect()) == [(1, 1.0), (1, 1.0), (1, 4.0)]
+
+
+@pytest.mark.parametrize("interpolate", [False, True])
+def test_exact_positions_of_huge_groups(spark, interpolate):
+    """States count: n = 3e9 and p = 0.035 are a few rows here. Against whole-number arithmetic."""
+    from fractions import Fraction
+
+    n, text = 3_000_000_000, ["0.035", "0.001", "0.007", "0.1", "0.9", "0.999", "1.0", "0.0", "1e-9", "0.3333333333333333"]
+    cuts = sorted({int(Fraction(t) * m) for t in text for m in (n, n - 1)} - {0, n})
+    ends = [x for c in cuts for x in (c - 1, c, c + 1, c + 2) if 0 < x <= n]
+    ends = sorted({*ends, n})
+    rows = [(1, "g", float(e), e - b) for b, e in zip([0, *ends], ends)]
+    got = quantiles(spark.createDataFrame(rows, "spec_id int, grp string, value double, n bigint"), spark.createDataFrame([(1, [float(t) for t in text])], "spec_id int, probs array<double>"), interpolate=interpolate)
+
+    def value(k):  # of the k-th
+        return next(float(e) for e in ends if k <= e)
+
+    for r in got.collect():
+        p = Fraction(repr(r["prob"]))
+        if interpolate:
+            at = p * (n - 1)
+            lo = int(at) + 1
+            want = value(lo) + float(at - int(at)) * (value(min(lo + 1, n)) - value(lo))
+            assert r["q"] == pytest.approx(want, rel=1e-12)
+        else:
+            assert r["q"] == value(max(1, math.ceil(p * n)))
