@@ -68,8 +68,8 @@ def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items larger than a block of their job: those that packing had to split."""
-    return _packed(spark, sf_dir).where(F.col("n_pieces") > 1).select("job_id", "fp").distinct()
+    """Items larger than a block of their job: those of which the blocks hold a second piece."""
+    return _packed(spark, sf_dir).where(F.col("pack").isNotNull() & (F.col("piece") >= 1)).select("job_id", "fp").distinct()
 
 
 def p5_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,3 +114,46 @@ def test_latest_attempts(spark):
     rows = [(1, "a", 5, "B", 1, t), (1, "a", 2, "KiB", 2, t), (1, "a", 2, "KiB", 2, t), (1, "b", 7, "B", 1, t), (1, "b", None, "B", 3, t), (2, "a", 9, None, None, None), (1, "c", 1, "B", 2, t), (1, "c", 9, "B", 2, t)]
     got = {(r["job_id"], r["fp"]): r["size"] for r in latest_attempts(spark.createDataFrame(rows, "job_id int, fp string, sz bigint, sz_unit string, attempt int, written_at timestamp")).collect()}
     assert got == {(1, "a"): 2048, (1, "b"): None, (2, "a"): 9, (1, "c"): 9}
+
+
+def test_lengths_are_exact(spark):
+    schema = "job_id int, fp string, size bigint"
+    jobs = spark.createDataFrame([(1, 2_000_002)], "job_id int, capacity bigint")
+    two = spark.createDataFrame([(1, "a", 1_000_001), (1, "b", 1_000_001)], schema)
+    assert {r["pack"] for r in pack_items(two, jobs).collect()} == {0}
+    assert {r["pack"] for r in pack_items(two, jobs, digits=12).collect()} == {0, 1}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(1, 60), st.integers(1, 3), max_size=10))
+def test_rule_an_item_at_a_time(histogram):
+    """Where packs never tie, the patterns are those of the rule applied an item at a time."""
+    sizes = sorted(sum(a * n for a, n in pat) for packs, pat in pack_histogram(histogram, 100) for _ in range(packs))
+    naive = one_by_one(histogram, 100)
+    assert len(sizes) <= len(naive) + 1 and (sizes == naive or sum(sizes) == sum(naive))
+
+
+def test_shards_of_a_job_with_many_lengths(spark):
+    """A histogram in several parts: every byte is placed once, packs are numbered through, and little room is lost."""
+    rnd = random.Random(9)
+    rows = [(1, f"f{i}", rnd.randint(1, 700)) for i in range(3000)] + [(2, "x", 5), (1, "big", 2500)]
+    jobs = spark.createDataFrame([(1, 1000), (2, 10)], "job_id int, capacity bigint")
+    res = pack_items(spark.createDataFrame(rows, "job_id int, fp string, size bigint"), jobs, max_bars=150)
+    room, pieces = defaultdict(int), defaultdict(int)
+    for r in res.collect():
+        room[(r["job_id"], r["pack"])] += r["piece_size"]
+        pieces[(r["job_id"], r["fp"])] += r["piece_size"]
+    assert dict(pieces) == {(j, f): s for j, f, s in rows}
+    assert max(v for (j, _), v in room.items() if j == 1) <= 1000 and {p for j, p in room if j == 1} == set(range(sum(j == 1 for j, _ in room)))
+    one = len({p for j, p in room if j == 1})
+    best = len({r["pack"] for r in pack_items(spark.createDataFrame(rows, "job_id int, fp string, size bigint"), jobs).where("job_id = 1").collect()})
+    assert one <= 1.03 * best
+
+
+def test_hot_length(spark):
+    """A length that most items have: found by buckets of ranks."""
+    rows = spark.range(5000).select(F.lit(1).alias("job_id"), F.concat(F.lit("f"), "id").alias("fp"), F.when(F.col("id") % 50 == 0, F.col("id") % 900 + 1).otherwise(7).cast("bigint").alias("size"))
+    res = pack_items(rows, spark.createDataFrame([(1, 1000)], "job_id int, capacity bigint"))
+    per = res.groupBy("pack").agg(F.sum("piece_size").alias("b")).collect()
+    total = rows.agg(F.sum("size")).first()[0]
+    assert res.count() == 5000 and max(r["b"] for r in per) <= 1000 and len(per) <= -(-total // 1000) + 1
