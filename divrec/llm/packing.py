@@ -13,7 +13,7 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,18 +105,16 @@ def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[int,
 _SLOTS = ("length", "first", "take", "pack", "each", "packs")
 
 
-def _pack_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One job (or one shard of it): its histogram to runs of ranks of a length and the packs that hold them.
+def _pack_group(histogram: dict[int, int], capacity: int) -> list[tuple[int, ...]]:
+    """One job (or one shard of it): its histogram to runs of ranks of a length and the packs that hold them, as ``_SLOTS``.
 
     Rank r (from 0) of a run lies in pack ``pack + (r - first) // each``. One
     row more, without length, has the number of ``packs``.
     """
-    lengths, items = pdf["length"].tolist(), pdf["items"].tolist()
-    histogram = dict(zip(lengths, items))
-    used = dict.fromkeys(lengths, 0)
-    rows: list[tuple] = []
+    used = dict.fromkeys(histogram, 0)
+    rows: list[tuple[int, ...]] = []
     add, pack = rows.append, 0
-    for packs, chain in _pack(histogram, int(pdf["capacity"].iloc[0])):
+    for packs, chain in _pack(histogram, capacity):
         while chain:
             length, each, chain = chain
             first, take = used[length], packs * each
@@ -130,11 +128,40 @@ def _pack_group(pdf: pd.DataFrame) -> pd.DataFrame:
                     add((length, first + p * each, n * each, pack + p, each, 0))
         pack += packs
     add((-1, 0, 0, 0, 1, pack))
-    cols = np.array(rows, dtype=np.int64)
-    out = pd.DataFrame(cols, columns=list(_SLOTS))
-    out.insert(0, "job", [pdf["job"].iloc[0]] * len(out))
-    out.insert(1, "shard", np.int64(pdf["shard"].iloc[0]))
-    return out
+    return rows
+
+
+def _pack_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bars sorted by job and shard (``job, shard, length, items, capacity``) to slots; one histogram is held at a time."""
+    now, histogram, capacity, kind = None, {}, 0, None
+    jobs: list = []
+    rows: list[tuple[int, ...]] = []
+
+    def flush() -> pa.RecordBatch:
+        cols = np.array(rows, dtype=np.int64).reshape(len(rows), len(_SLOTS) + 1)
+        out = pa.RecordBatch.from_arrays([pa.array(jobs, kind), *[pa.array(cols[:, i]) for i in range(len(_SLOTS) + 1)]], names=["job", "shard", *_SLOTS])
+        jobs.clear()
+        rows.clear()
+        return out
+
+    def close() -> None:
+        packed = _pack_group(histogram, capacity)
+        jobs.extend([now[0]] * len(packed))
+        rows.extend((now[1], *r) for r in packed)
+
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for job, shard, length, items, cap in zip(*(c.to_pylist() for c in batch.columns)):
+            if now != (job, shard):
+                if now is not None:
+                    close()
+                    if len(rows) >= 100_000:
+                        yield flush()
+                now, histogram, capacity = (job, shard), {}, cap
+            histogram[length] = items
+    if now is not None:
+        close()
+        yield flush()
 
 
 def pack_items(
@@ -182,8 +209,8 @@ def pack_items(
     bars = histogram.join(broadcast_if_small(shards), F.col("job").eqNullSafe(F.col("_hj"))).select("job", F.pmod(F.xxhash64("length"), F.col("_shards")).alias("shard"), "length", "items", "capacity")
     kind = rows.schema["job_id"].dataType.simpleString()
     # an explicit number of partitions, which small bytes don't merge: packing costs time, not bytes
-    placed = bars.repartition(partitions(rows.sparkSession), "job", "shard").groupBy("job", "shard").applyInPandas(_pack_group, f"job {kind}, shard bigint, " + ", ".join(f"{c} bigint" for c in _SLOTS))
-    slots = stage(placed, "slots")
+    sorted_bars = bars.repartition(partitions(rows.sparkSession), "job", "shard").sortWithinPartitions("job", "shard")
+    slots = stage(sorted_bars.mapInArrow(_pack_groups, f"job {kind}, shard bigint, " + ", ".join(f"{c} bigint" for c in _SLOTS)), "slots")
     # Where the packs of each shard begin: a running sum over one row a shard.
     base = ordered_scan(slots.where("length < 0").select("job", "shard", "packs"), ["job"], ["shard"], sums={"_upto": "packs"}).select(F.col("job").alias("_bj"), F.col("shard").alias("_bs"), (F.col("_upto") - F.col("packs")).alias("_base"), "_upto")
     slots = slots.where("length >= 0").join(broadcast_if_small(base.drop("_upto")), (F.col("job") == F.col("_bj")) & (F.col("shard") == F.col("_bs")))
