@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from divrec.llm.contamination import decontaminate, leaks
+from divrec.llm.contamination import clean_documents, leaks
 from divrec.llm.frequent import frequency_table, frequent_items
 from divrec.llm.mixing import mix_sources, unreachable
 from divrec.llm.packing import latest_attempts, pack_items, pack_report
@@ -85,8 +85,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents after leaked spans were cut out, with the verdict."""
-    docs = table(spark, sf_dir, "documents")
-    done = decontaminate(docs, leaks(docs, table(spark, sf_dir, "eval_items")))
+    done = clean_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
     return done.where("verdict <> 'keep'").select("doc_id", "verdict", F.round("coverage", 6).alias("coverage"), "text")
 
 

@@ -69,3 +69,37 @@ def test_against_all_grams(spark):
     got = {(r["doc_id"], r["eval_id"]): r["item_words"] for r in leaks(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "eval_id bigint, text string"), min_words=4, block_words=300).collect()}
     seqs = [(k, t.split()) for k, t in items]
     assert got == {(d, k): n for d, t in docs for k, n in brute(seqs, t.split(), 4).items()}
+
+
+@pytest.mark.parametrize(("block", "words_a_pass"), [(300, 10**6), (5, 10**6), (60, 250)])
+def test_many_blocks_and_passes(spark, monkeypatch, block, words_a_pass):
+    """More blocks than a worker holds, and more words than a pass takes: the same pairs."""
+    from divrec.llm import contamination
+
+    monkeypatch.setattr(contamination, "PASS_WORDS", words_a_pass)
+    rnd = random.Random(8)
+    vocab = [f"w{i}" for i in range(6)]
+    items = [(i, " ".join(rnd.choices(vocab, k=rnd.randint(0, 40)))) for i in range(40)]
+    docs = [(i, " ".join(rnd.choices(vocab, k=60))) for i in range(60)] + [(99, "w0 " * 500 + "w1 w2 w3 w4"), (98, "nothing of it")]
+    d, i = spark.createDataFrame(docs, "doc_id int, text string").repartition(3), spark.createDataFrame(items, "eval_id bigint, text string")
+    found = leaks(d, i, min_words=4, block_words=block)
+    got = {(r["doc_id"], r["eval_id"]): r["item_words"] for r in found.collect()}
+    seqs = [(k, t.split()) for k, t in items]
+    assert got == {(a, k): n for a, t in docs for k, n in brute(seqs, t.split(), 4).items()}
+    if block == 300:
+        scans = found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+        assert scans == 1  # the documents are read once for all blocks
+
+
+def test_clean_in_one_pass(tables):
+    """As decontaminate, and with missing and repeated ids: every row is cut by its own spans."""
+    from divrec.llm.contamination import clean_documents
+
+    docs, items = tables
+    unique = docs.where("doc_id is not null").distinct()
+    key = lambda d: sorted((r["doc_id"], r["text"], r["coverage"], r["verdict"]) for r in d.select("doc_id", F.coalesce("text", F.lit("-")).alias("text"), "coverage", "verdict").collect())
+    assert key(clean_documents(unique, items, max_coverage=0.9)) == key(decontaminate(unique, leaks(unique, items), max_coverage=0.9))
+    odd = docs.where("doc_id is null").unionByName(docs.where("doc_id in (1, 7)").withColumn("doc_id", F.lit(1).cast("bigint"))).withColumn("_cut", F.lit("mine"))
+    got = sorted((r["doc_id"] or 0, r["verdict"], r["_cut"]) for r in clean_documents(odd, items, max_coverage=0.9).collect())
+    assert got == [(0, "drop", "mine"), (1, "cut", "mine"), (1, "keep", "mine")]
+    assert clean_documents(docs, items.limit(0)).where("verdict <> 'keep'").count() == 0 and clean_documents(docs.limit(0), items).count() == 0
