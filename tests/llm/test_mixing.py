@@ -89,3 +89,33 @@ def test_classifier_held_out():
 def test_plain_source(spark):
     df = spark.createDataFrame([(" A b\t",), ("",), ("  ",), (None,)], "s string")
     assert [r[0] for r in df.select(plain_source(F.col("s"))).collect()] == ["a b", None, None, None]
+
+
+def test_fit_by_jobs_is_the_fit_in_one_place(spark, docs):
+    t = spark.createDataFrame([(1, 0.7, "shop", 1.0, 2), (1, 0.7, "news", 1.0, 2), (2, 3.0, "forum", 1.0, None), (2, 3.0, "shop", 3.0, 4)], TARGETS)
+    key = lambda n: sorted((r["mix_id"], r["source"], round(r["fitted_tokens"], 6), r["actual_tokens"], r["saturated"]) for r in mix_sources(docs, t, local_groups=n)[0].collect())
+    assert key(0) == key(10**6)
+
+
+def test_sample_is_that_of_the_least_hashes(spark):
+    from divrec.llm.mixing import _labelled_sample
+
+    known = spark.range(3000).select(F.col("id").alias("i"), F.concat(F.lit("s"), F.col("id") % 3).alias("s"), F.lit("a b").alias("t"), F.xxhash64("id").alias("h"))
+    want = [r["s"] for r in known.orderBy("h", "i").limit(100).collect()]
+    for n in (3000, 10**7, 1):  # the count is only an estimate of how far to look
+        labels, x = _labelled_sample(known, 100, n)
+        assert labels == want and x.shape[0] == 100
+    assert len(_labelled_sample(known, 10**4, 3000)[0]) == 3000 and _labelled_sample(known.limit(0), 10, 0)[0] == []
+    plan = known.where(F.col("h") <= 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" not in plan
+
+
+def test_memberships_are_sparse(spark):
+    """A thousand sources: a document holds one entry, or as many as it has parts at most."""
+    rnd = np.random.default_rng(3)
+    rows = [(i, " ".join(rnd.choice(["lamp", "vote", "game", "wood"], size=9)), f"s{i % 500}" if i % 10 else None) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    t = spark.createDataFrame([(1, 0.5, f"s{i}", 1.0, 3) for i in range(500)], TARGETS)
+    report, uses = mix_sources(docs, t)
+    r = report.agg(F.count("*").alias("n"), F.sum("actual_share").alias("s"), F.sum("size_tokens").alias("z")).first()
+    assert r["n"] == 500 and r["s"] == pytest.approx(1, abs=0.02) and r["z"] == 9 * 1800 and uses.agg(F.max("uses")).first()[0] <= 3
