@@ -78,6 +78,13 @@ def p5_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("job_id", "packs", "pieces", "bytes", "largest", "capacity", F.round("used", 6).alias("used"))
 
 
+def p5_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per job what packing must hold to: all pieces and bytes, no block over its capacity, and the share of room used by all but a fiftieth."""
+    r = pack_report(_packed(spark, sf_dir))
+    least = F.ceil(F.col("bytes") / F.col("capacity"))
+    return r.select("job_id", "pieces", "bytes", (F.col("largest") <= F.col("capacity")).alias("fits"), (F.col("packs") >= least).alias("enough"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents holding at least ten consecutive words of a test item."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "eval_id").distinct()
@@ -106,7 +113,7 @@ def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of which at least 30 % of the words are repeated content."""
-    shares = repeated_shares(table(spark, sf_dir, "documents"))
+    shares = repeated_shares(table(spark, sf_dir, "documents"), parts=False)
     return shares.where((F.col("n_words") > 0) & (F.col("repeated_words") * 10 >= F.col("n_words") * 3)).select("doc_id").distinct()
 
 
@@ -116,6 +123,11 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "n_words", "repeated_words", *[F.round(c, 6).alias(c) for c in ("share", "sentence_share", "paragraph_share")])
 
 
+def p9_repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and repeated words of every document."""
+    return repeated_shares(table(spark, sf_dir, "documents"), parts=False).select("doc_id", "n_words", "repeated_words")
+
+
 def p9_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity of every document under its language's model, and the verdict of the language's band."""
     r = perplexity_bands(perplexities(table(spark, sf_dir, "documents")))
@@ -124,7 +136,7 @@ def p9_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (p1_found, p1_percentiles, p1_daily, p4_found, p4_freq_table, p5_found, p5_blocks, p7_found, p7_clean, p8_found, p8_mix, p9_found, p9_shares, p9_perplexity)
+    for q in (p1_found, p1_percentiles, p1_daily, p4_found, p4_freq_table, p5_found, p5_blocks, p5_totals, p7_found, p7_clean, p8_found, p8_mix, p9_found, p9_shares, p9_repeated_words, p9_perplexity)
 }
 
 _ONCE = """d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY load_day, collected_at) AS rn FROM census) WHERE rn = 1),
@@ -136,7 +148,44 @@ _ONCE = """d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rec_id
  r AS (SELECT *, row_number() OVER (PARTITION BY spec_id, grp ORDER BY value) AS pos, count(*) OVER (PARTITION BY spec_id, grp) AS n FROM s),
  p AS (SELECT DISTINCT spec_id, unnest(probs) AS prob, unnest(limits) AS lim FROM quantile_specs)"""
 
+#: Letters and digits of full width and those they stand for.
+_WIDE = [(0xFF10, "0", 10), (0xFF21, "A", 26), (0xFF41, "a", 26)]
+_FROM, _TO = ("".join(chr((a if wide else ord(b)) + i) for a, b, n in _WIDE for i in range(n)) for wide in (True, False))
+
+
+def _words_sql(text: str) -> str:
+    """The words of a text for DuckDB; of the entities those that the tables hold."""
+    t = f"regexp_replace({text}, '<[^<>]{{1,60}}>', ' ', 'g')"
+    for entity, char in (("&nbsp;", "\u00a0"), ("&quot;", '"'), ("&#44;", ","), ("&#39;", "''"), ("&amp;", "&")):
+        t = f"replace({t}, '{entity}', '{char}')"
+    t = f"strip_accents(lower(replace(translate({t}, '{_FROM}', '{_TO}'), 'ß', 'ss')))"
+    t = f"regexp_replace({t}, '[\\x{{AD}}\\x{{200B}}-\\x{{200F}}\\x{{2060}}\\x{{FEFF}}]', '', 'g')"
+    return f"regexp_extract_all({t}, '[\\p{{L}}\\p{{N}}]+')"
+
+
+def _runs_sql(rows: str, key: str, n: int) -> str:
+    """Every run of n words: key, place (from 1), run."""
+    return f"SELECT {key}, i, array_to_string(list_slice(w, i, i + {n - 1}), ' ') AS run FROM (SELECT {key}, w, unnest(range(1, len(w) - {n - 2})) AS i FROM {rows} WHERE len(w) >= {n})"
+
+
+_DOCS = f"d AS (SELECT doc_id, source, {_words_sql('text')} AS w FROM documents)"
+_REPEATED = f"""{_DOCS}, r AS ({_runs_sql('d', 'doc_id', 6)}), a AS (SELECT doc_id, i, i > min(i) OVER (PARTITION BY doc_id, run) AS again FROM r),
+ c AS (SELECT doc_id, count(DISTINCT p) AS repeated_words FROM (SELECT doc_id, unnest(range(i, i + 6)) AS p FROM a WHERE again) GROUP BY 1),
+ s AS (SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, coalesce(repeated_words, 0) AS repeated_words FROM d LEFT JOIN c USING (doc_id))"""
+
 ORACLES = {
+    "p5_totals": """WITH b AS (SELECT *, sz * CASE WHEN sz_unit = 'KiB' THEN 1024 ELSE 1 END AS bytes FROM mr_files),
+ l AS (SELECT *, row_number() OVER (PARTITION BY job_id, fp ORDER BY attempt DESC, written_at DESC, bytes DESC) AS rn FROM b)
+ SELECT l.job_id, CAST(sum(greatest(1, (l.bytes + j.map_buff_size_bytes - 1) // j.map_buff_size_bytes)) AS BIGINT) AS pieces, CAST(sum(l.bytes) AS BIGINT) AS bytes, true AS fits, true AS enough
+ FROM l JOIN mr_jobs j USING (job_id) WHERE rn = 1 AND l.bytes >= 0 AND j.map_buff_size_bytes > 0 GROUP BY 1""",
+    "p7_found": f"""WITH {_DOCS}, e AS (SELECT eval_id, {_words_sql('text')} AS w FROM eval_items), x AS ({_runs_sql('d', 'doc_id', 10)}), y AS ({_runs_sql('e', 'eval_id', 10)})
+ SELECT DISTINCT doc_id, eval_id FROM x JOIN y USING (run)""",
+    "p8_found": f"""WITH {_DOCS}, z AS (SELECT nullif(lower(trim(source)), '') AS source, sum(coalesce(len(w), 0)) AS n FROM d GROUP BY 1),
+ t AS (SELECT mix_id, lower(trim(source)) AS source, max(budget_ratio) AS ratio, sum(target_weight) AS weight, min(max_repeats) AS cap FROM mix_targets WHERE target_weight > 0 AND budget_ratio > 0 AND trim(source) <> '' GROUP BY 1, 2),
+ u AS (SELECT *, weight / sum(weight) OVER (PARTITION BY mix_id) * ratio * (SELECT sum(n) FROM z) AS target FROM t)
+ SELECT u.mix_id, u.source FROM u LEFT JOIN z USING (source) WHERE cap IS NOT NULL AND coalesce(n, 0) * cap < target""",
+    "p9_found": f"WITH {_REPEATED} SELECT doc_id FROM s WHERE n_words > 0 AND repeated_words * 10 >= n_words * 3",
+    "p9_repeated_words": f"WITH {_REPEATED} SELECT * FROM s",
     "p1_found": f"""WITH {_ONCE} SELECT DISTINCT r.spec_id, r.grp, CAST(round(p.prob * 1000) AS INTEGER) AS prob_pm FROM r JOIN p ON r.spec_id = p.spec_id
  AND r.pos = greatest(1, ceil(CAST(CAST(p.prob AS VARCHAR) AS DECIMAL(18, 17)) * r.n)) WHERE r.value > p.lim""",
     "p1_percentiles": f"""WITH {_ONCE}, u AS (SELECT DISTINCT spec_id, prob FROM p),
