@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from divrec.runtime import require_columns, stage
 
-SUMMARY = "part int, floor bigint, item string, est bigint, err bigint"
+SUMMARY = "part int, floor bigint, item string, est bigint, err bigint, rows bigint"
 #: Counters in a summary: the guaranteed threshold is rows / COUNTERS.
 COUNTERS = 2048
 FANIN = 16
@@ -46,7 +46,8 @@ def merge_summary(a: dict, a_floor: int, b: dict, b_floor: int, k: int) -> tuple
     return out, floor
 
 
-def _emit(part: int, summary: dict, floor: int) -> pa.RecordBatch:
+def _emit(part: int, summary: dict, floor: int, rows: int) -> pa.RecordBatch:
+    """A summary as rows; each carries the number of ``rows`` that it sums up."""
     items = sorted(summary.items())
     n = len(items)
     return pa.RecordBatch.from_arrays(
@@ -56,8 +57,9 @@ def _emit(part: int, summary: dict, floor: int) -> pa.RecordBatch:
             pa.array([i for i, _ in items], pa.string()),
             pa.array([v[0] for _, v in items], pa.int64()),
             pa.array([v[1] for _, v in items], pa.int64()),
+            pa.array([rows] * n, pa.int64()),
         ],
-        names=["part", "floor", "item", "est", "err"],
+        names=["part", "floor", "item", "est", "err", "rows"],
     )
 
 
@@ -65,14 +67,15 @@ def _summarise(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        summary, floor = {}, 0
+        summary, floor, rows = {}, 0, 0
         for batch in batches:
+            rows += batch.num_rows
             counts = pc.value_counts(batch.column(0))
             exact = {i: (c, 0) for i, c in zip(counts.field(0).to_pylist(), counts.field(1).to_pylist())}
             # the batch is an exact summary with floor 0; merged, then cut to k counters
             summary, floor = merge_summary(summary, floor, exact, 0, k)
         if summary:
-            yield _emit(TaskContext.get().partitionId(), summary, floor)
+            yield _emit(TaskContext.get().partitionId(), summary, floor, rows)
 
     return run
 
@@ -80,12 +83,14 @@ def _summarise(k: int):
 def _merge(k: int):
     def run(tbl: pa.Table) -> pa.Table:
         by: dict[int, tuple[dict, int]] = {}
-        for r in zip(*(tbl.column(c).to_pylist() for c in ("part", "floor", "item", "est", "err"))):
+        rows = {}
+        for r in zip(*(tbl.column(c).to_pylist() for c in ("part", "floor", "item", "est", "err", "rows"))):
             by.setdefault(r[0], ({}, r[1]))[0][r[2]] = (r[3], r[4])
+            rows[r[0]] = r[5]
         summary, floor = {}, 0
         for part in sorted(by):
             summary, floor = merge_summary(summary, floor, *by[part], k)
-        return pa.Table.from_batches([_emit(min(by) // FANIN, summary, floor)])
+        return pa.Table.from_batches([_emit(min(by) // FANIN, summary, floor, sum(rows.values()))])
 
     return run
 
@@ -107,9 +112,9 @@ def frequent_items(df: DataFrame, column: str, k: int = COUNTERS) -> DataFrame:
     while parts > 1:
         level = level.groupBy(F.floor(F.col("part") / FANIN).cast("int")).applyInArrow(_merge(k), SUMMARY)
         parts = -(-parts // FANIN)
-    candidates = stage(level.select("item", "est", "err"), "frequent")
+    candidates = stage(level.select("item", "est", "err", "rows"), "frequent")
     # At most k candidates: bounded by the parameter, so the broadcast is too.
-    total = values.count()
+    total = candidates.agg(F.max("rows")).first()[0] or 0
     exact = values.join(F.broadcast(candidates.select("item")), "item", "left_semi").groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     return candidates.join(F.broadcast(exact), "item").select("item", "est", "err", "n", F.lit(total).cast("bigint").alias("total"))
 
