@@ -9,9 +9,10 @@ Python workers don't import what they don't need.
 import importlib
 
 _NAMES = {
+    "runtime": "release_staged stage staging",
     "operators.division": "Division Pair CondDiv RandomDiv add_transform cond_div ddf ddo divide dr_filter dr_join dr_lapply dr_persist dr_sample dr_subset joined_lists key_hash kv_apply kv_pair kv_pairs rr_div to_ddf",
     "operators.combine": "Combine comb_collect comb_ddf comb_ddo comb_mean comb_mean_coef comb_rbind recombine",
-    "operators.agnostic": "calculate_moments combine_moments combine_multiple_moments datetime_summary dr_aggregate dr_hexbin dr_quantile format_summary frequency_summary moments_of moments_to_statistics numeric_summary split_row_distn split_size_distn update_attributes",
+    "operators.agnostic": "calculate_moments combine_moments combine_multiple_moments datetime_summary dr_aggregate dr_hexbin dr_quantile format_summary frequency_summary frequency_tables moments_of moments_to_statistics numeric_summary split_row_distn split_size_distn update_attributes",
     "operators.models": "blb dr_blb dr_glm dr_lm",
     "operators.mapreduce": "Control Reduce controlled counters default_control mr_exec source_names",
     "operators.scan": "ordered_scan row_numbers",

@@ -6,6 +6,8 @@ import atexit
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -149,9 +151,9 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_staged() -> None:
-    """Delete every staged table of this process; results that still read one must be written before."""
-    while _STAGED:
+def release_staged(keep: int = 0) -> None:
+    """Delete every staged table of this process but the first ``keep``; results that still read one must be written before."""
+    while len(_STAGED) > keep:
         spark, path = _STAGED.pop()
         try:
             remove_path(spark, path)
@@ -159,6 +161,16 @@ def release_staged() -> None:
             pass
 
 
+@contextmanager
+def staging() -> Iterator[None]:
+    """Tables staged inside are deleted at the end, so that a long session doesn't keep those of finished results."""
+    before = len(_STAGED)
+    try:
+        yield
+    finally:
+        release_staged(before)
+
+
 atexit.register(release_staged)
 
 
