@@ -47,7 +47,8 @@ def escaped(text: Column, names: Sequence[str]) -> Column:
     if len(names) < 2:
         return text
     next_one = "|".join(re.escape(n) for n in names)
-    return F.regexp_replace(F.regexp_replace(text, rf"(\\*)\|(?=(?:{next_one})=)", r"$1$1\\|"), r"(?<!\\)(\\+)$", "$1$1")
+    marked = F.regexp_replace(F.regexp_replace(text, rf"(\\*)\|(?=(?:{next_one})=)", r"$1$1\\|"), r"(?<!\\)(\\+)$", "$1$1")
+    return F.when(F.contains(text, F.lit("|")) | F.endswith(text, F.lit("\\")), marked).otherwise(text)  # patterns only where needed
 
 
 def condition_key(df: DataFrame, names: Sequence[str]) -> Column:

@@ -441,8 +441,8 @@ def add_transform(
     ``columns``: row expressions, ``agg``: aggregates giving one row a subset;
     both stay in the plan (no Python). ``fn(value)`` or ``fn(key, value)``: an
     opaque function of the subset's frame, deferred and fused with its
-    neighbours; without ``schema`` (of the value columns) it is tried on the
-    whole first pair, which gives the result's columns. A result that has
+    neighbours; without ``schema`` (of the value columns) it is tried on a
+    whole pair, which gives the result's columns. A result that has
     others is an error; those that it lacks are missing. ``uses``: the columns
     the first opaque function needs, so that no others are read. Values captured by
     ``fn`` are those at the time of this call.
@@ -487,7 +487,7 @@ def _result_schema(div: Division, schema: str | T.StructType | None) -> T.Struct
 
 
 def _try_pairs(div: Division, fn: Callable[[Any, pd.DataFrame], bytes | None]) -> bytes:
-    """``fn`` of the first whole pair that gives anything, run where it would run anyway; few rows reach the driver."""
+    """``fn`` of a whole pair, the first found that gives anything, run where it would run anyway; few rows reach the driver."""
     hidden = [KEY, *div.split_cols]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -497,8 +497,8 @@ def _try_pairs(div: Division, fn: Callable[[Any, pd.DataFrame], bytes | None]) -
             res, error = None, str(e)
         return pd.DataFrame({"res": [res], "error": [error]})
 
-    first = div.df.agg(F.min(KEY)).first()[0]
-    found = grouped_pandas(div.df.where(F.col(KEY) == F.lit(first)), KEY, run, "res binary, error string").collect()
+    at = div.df.select(KEY).limit(1).collect()  # any pair will do, so the first that is found
+    found = grouped_pandas(div.df.where(F.col(KEY).eqNullSafe(F.lit(at[0][0]))), KEY, run, "res binary, error string").collect() if at else []
     if not found or (found[0]["res"] is None and not found[0]["error"]):  # the first pair gives nothing: any that does
         found = grouped_pandas(div.df, KEY, run, "res binary, error string").where("res is not null or error is not null").limit(1).collect()
     if not found:
