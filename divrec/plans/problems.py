@@ -101,7 +101,26 @@ _LIVE = f"""l AS (SELECT {_LOC.format('conn_loc')} AS loc, * FROM conn_files WHE
  r AS (SELECT *, row_number() OVER (PARTITION BY loc, file_name ORDER BY listed_at DESC, listing_id DESC) AS rn FROM l),
  live AS (SELECT loc, file_name, size_bytes, CASE WHEN n_pairs > 0 THEN CAST(n_pairs AS BIGINT) ELSE 0 END AS len, n_pairs, first_pair FROM r WHERE rn = 1 AND NOT removed)"""
 
+# Records by patterns of each format: a field is quoted, or holds no separator and does not begin with the mark; the line gets one more separator at its end.
+_RECORDS = r"""f AS (SELECT *, CASE WHEN sep = '' THEN '[ \t]+' ELSE regexp_escape(sep) END AS s, CASE WHEN sep = '' THEN ' \t' ELSE regexp_escape(sep) END AS c, coalesce(quote_mark, '') AS qm FROM text_formats),
+ g AS (SELECT *, CASE WHEN qm = '' THEN '[^' || c || ']*' ELSE qm || '(?:[^' || qm || ']|' || qm || qm || ')*' || qm || '|[^' || qm || c || '][^' || c || ']*' || CASE WHEN sep = '' THEN '' ELSE '|' END END AS field FROM f),
+ l AS (SELECT line_id, file_name, line_no, format_id, CASE WHEN raw_line LIKE '%' || chr(13) THEN left(raw_line, length(raw_line) - 1) ELSE raw_line END AS raw FROM text_lines WHERE raw_line IS NOT NULL),
+ m AS (SELECT l.*, g.* EXCLUDE (format_id), CASE WHEN sep = '' THEN trim(raw, chr(32) || chr(9)) ELSE raw END AS line FROM l JOIN g USING (format_id)),
+ n AS (SELECT *, line || CASE WHEN sep = '' THEN ' ' ELSE sep END AS whole FROM m WHERE NOT regexp_full_match(raw, '\s*') AND raw <> coalesce(header_line, '') AND NOT (sep = '' AND line = trim(coalesce(header_line, '')))),
+ o AS (SELECT *, regexp_full_match(whole, '(?:(?:' || field || ')' || s || ')+') AS sound, regexp_extract_all(whole, '(' || field || ')' || s, 1) AS fields FROM n),
+ u AS (SELECT line_id, dec_mark, unnest(colclasses) AS kind, unnest(fields) AS raw, qm FROM o WHERE sound AND len(fields) = len(colclasses)),
+ v AS (SELECT line_id, dec_mark, kind, trim(CASE WHEN qm <> '' AND starts_with(raw, qm) THEN replace(substr(raw, 2, length(raw) - 2), qm || qm, qm) ELSE raw END, chr(32) || chr(9) || chr(13) || chr(10)) AS x FROM u),
+ w AS (SELECT line_id, bool_and(x IN ('', 'NA') OR CASE kind WHEN 'character' THEN true
+   WHEN 'numeric' THEN NOT (dec_mark <> '.' AND contains(x, '.')) AND regexp_full_match(replace(x, dec_mark, '.'), '[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|NaN|Inf|-Inf')
+   WHEN 'integer' THEN regexp_full_match(x, '[+-]?[0-9]+') AND coalesce(abs(TRY_CAST(x AS HUGEINT)) <= 2147483647, false) WHEN 'logical' THEN x IN ('TRUE', 'FALSE', 'T', 'F', 'true', 'false')
+   WHEN 'Date' THEN regexp_full_match(x, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND TRY_CAST(x AS DATE) IS NOT NULL
+   WHEN 'POSIXct' THEN regexp_full_match(x, '[0-9]{4}-[0-9]{2}-[0-9]{2} (?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]') AND TRY_CAST(x AS TIMESTAMP) IS NOT NULL END) AS fit FROM v GROUP BY 1),
+ rec AS (SELECT o.*, CASE WHEN NOT sound THEN 'quoting' WHEN len(fields) <> len(colclasses) THEN 'columns' WHEN NOT fit THEN 'value' END AS reason FROM o LEFT JOIN w USING (line_id))"""
+
 ORACLES = {
+    "p6_found": f"WITH {_RECORDS} SELECT line_id, reason FROM rec WHERE reason IS NOT NULL",
+    "p6_blocks": f"""WITH {_RECORDS}, k AS (SELECT format_id, line_id, rowsperblock, row_number() OVER (PARTITION BY format_id ORDER BY file_name, line_no, line_id) AS rn FROM rec WHERE reason IS NULL)
+ SELECT format_id, CASE WHEN rowsperblock >= 1 THEN CAST(floor((rn - 1) / rowsperblock) AS BIGINT) + 1 ELSE 1 END AS block, count(*) AS n, min(line_id) AS first_line, max(line_id) AS last_line FROM k GROUP BY 1, 2""",
     "p2_found": f"""WITH {_KEYS} SELECT key_column, key_value FROM k GROUP BY 1, 2
  HAVING count(*) * 100 >= (SELECT count(*) FROM census)""",
     "p2_key_results": f"""WITH {_KEYS} SELECT key_column, key_value, count(*) AS n, count(age) AS n_age, CAST(sum(age) AS DOUBLE) AS sum_age,
