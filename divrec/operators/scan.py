@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from divrec.runtime import partitions, require_columns, stage
+from divrec.runtime import require_columns, stage
 
 _NONE = int(np.iinfo(np.int64).min)  # no value yet
 PID, ORD, GRP = "_scan_pid", "_scan_ord", "_scan_grp"
@@ -133,7 +133,8 @@ def ordered_scan(
         df = df.withColumn("_scan_one", F.lit(1).cast("bigint"))
         sums[count] = "_scan_one"
     keys = [F.col(f"`{c}`") for c in dict.fromkeys([*groups, *order])]
-    ranged = df.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys)
+    # The number of ranges is left to the engine, which merges neighbouring small ones.
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     schema = T.StructType(
         [*df.schema.fields, T.StructField(PID, T.IntegerType()), T.StructField(ORD, T.LongType()), T.StructField(GRP, T.LongType())]
         + [T.StructField(n, T.LongType()) for n in (*sums, *maxes, *(f"{m}_before" for m in maxes))]
