@@ -211,8 +211,13 @@ def pack_items(
     # an explicit number of partitions, which small bytes don't merge: packing costs time, not bytes
     sorted_bars = bars.repartition(partitions(rows.sparkSession), "job", "shard").sortWithinPartitions("job", "shard")
     slots = stage(sorted_bars.mapInArrow(_pack_groups, f"job {kind}, shard bigint, " + ", ".join(f"{c} bigint" for c in _SLOTS)), "slots")
-    # Where the packs of each shard begin: a running sum over one row a shard.
-    base = ordered_scan(slots.where("length < 0").select("job", "shard", "packs"), ["job"], ["shard"], sums={"_upto": "packs"}).select(F.col("job").alias("_bj"), F.col("shard").alias("_bs"), (F.col("_upto") - F.col("packs")).alias("_base"), "_upto")
+    # Where the packs of each shard begin: a running sum over one row a shard, where a job has several.
+    heads = slots.where("length < 0").select("job", "shard", "packs")
+    if slots.where("shard > 0").limit(1).count():
+        upto = ordered_scan(heads, ["job"], ["shard"], sums={"_upto": "packs"})
+    else:
+        upto = heads.withColumn("_upto", F.col("packs"))
+    base = upto.select(F.col("job").alias("_bj"), F.col("shard").alias("_bs"), (F.col("_upto") - F.col("packs")).alias("_base"), "_upto")
     slots = slots.where("length >= 0").join(broadcast_if_small(base.drop("_upto")), (F.col("job") == F.col("_bj")) & (F.col("shard") == F.col("_bs")))
     # Patterns meet items by rank: both sides are cut into buckets of ranks, so no length is a hot key, and a bucket holds few rows of either.
     slots = slots.select("job", F.col("length").alias("_sl"), "first", "take", "each", (F.col("pack") + F.col("_base")).alias("pack"), F.explode(F.sequence(F.floor(F.col("first") / BUCKET), F.floor((F.col("first") + F.col("take") - 1) / BUCKET))).alias("_sb"))
