@@ -129,42 +129,42 @@ def classify_records(lines: DataFrame, formats: DataFrame, *, line: str = "raw_l
     if unknown := {k for s in specs for k in s["colclasses"]} - _CLASSES:
         raise ValueError(f"no such column class: {', '.join(sorted(unknown))}")
     c_fields, c_reason, f = fresh(lines, "fields"), fresh(lines, "reason"), fresh(lines, "_f")
-    spec = formats.select(
-        F.struct(
-            F.col("format_id").alias("id"),
-            F.coalesce("sep", F.lit("")).alias("sep"),
-            F.coalesce("dec_mark", F.lit(".")).alias("dec"),
-            F.coalesce("quote_mark", F.lit("")).alias("quote"),
-            F.col("header_line").alias("head"),
-            F.col("colclasses").alias("kinds"),
-        ).alias(f)
-    )
+    # The permissive reader's parsers, one for each shape of format, by number; -1: blanks, -2: none can be trusted.
+    shapes: dict[tuple, int] = {}
+
+    def parser(s) -> int:
+        sep, quote = s["sep"] or "", s["quote_mark"] or ""
+        return -1 if not sep else shapes.setdefault((sep, quote, len(s["colclasses"])), len(shapes)) if len(sep) == 1 and len(quote) < 2 else -2
+
+    known = [(s["format_id"], s["sep"] or "", s["dec_mark"] or ".", s["quote_mark"] or "", s["header_line"], list(s["colclasses"]), parser(s)) for s in specs]
+    kind_of_id = formats.schema["format_id"].dataType.simpleString()
+    table = lines.sparkSession.createDataFrame(known, f"id {kind_of_id}, sep string, dec string, quote string, head string, kinds array<string>, parser int")
+    spec = table.select(F.struct(*table.columns).alias(f))
     rows = lines.join(F.broadcast(spec), F.col(f"`{fmt}`") == F.col(f)["id"], "left")  # at most MAX_FORMATS rows
     of = lambda name: F.col(f)[name]
     given = F.col(f"`{line}`")
     raw = F.when(F.endswith(given, F.lit("\r")), F.left(given, F.length(given) - 1)).otherwise(given)
     stripped = F.btrim(raw, F.lit(" \t"))
-    blanks = F.coalesce(of("sep") == "", F.lit(False))  # then blanks and tabs at either end don't count
+    blanks = F.coalesce(of("parser") == -1, F.lit(False))  # then blanks and tabs at either end don't count
     header = (raw == of("head")) | (blanks & (stripped == F.trim(of("head"))))
-    rows = rows.where(given.isNotNull() & ~raw.rlike(r"^\s*\z") & ~F.coalesce(header, F.lit(False)))
+    rows = rows.where(given.isNotNull() & (F.btrim(raw, F.lit(" \t\n\x0b\f\r")) != "") & ~F.coalesce(header, F.lit(False)))
 
     # Step 1: the permissive read. The columns as text, and whether the reader refuses the line.
     rows = rows.withColumn(f"{f}x", _once(F.when(blanks, stripped).otherwise(raw)))
     text = F.col(f"{f}x")
-    strange = text.rlike(r"[\r\n\x00]") | ((of("quote") != "") & F.contains(text, of("quote")))
+    strange = F.contains(text, F.lit("\r")) | F.contains(text, F.lit("\n")) | F.contains(text, F.lit("\x00")) | ((of("quote") != "") & F.contains(text, of("quote")))
     n_cols = F.size(of("kinds"))
     parts = F.split(text, r"[ \t]+", -1)
     perm = F.when(blanks, F.struct(parts.alias("fields"), (F.size(parts) != n_cols).alias("corrupt")))
-    trusted = {(s["sep"], s["quote_mark"] or "", len(s["colclasses"])) for s in specs if s["sep"] and len(s["sep"]) == 1 and len(s["quote_mark"] or "") < 2}
-    for sep, quote, n in sorted(trusted):
+    for (sep, quote, n), number in shapes.items():
         schema = ", ".join([*(f"c{i} string" for i in range(n)), "_corrupt string"])
         parsed = F.from_csv(text, schema, {
             "sep": sep, "quote": quote or "\u0000", "escape": quote or "\u0000", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt",
             "maxColumns": str(LONG), "nullValue": "\u0001", "emptyValue": "",
         })
         read = F.struct(F.array(*[parsed[f"c{i}"] for i in range(n)]).alias("fields"), parsed["_corrupt"].isNotNull().alias("corrupt"))
-        perm = perm.when((of("sep") == sep) & (of("quote") == quote) & (n_cols == n), read)
-    plain = blanks | F.concat_ws("\u0001", of("sep"), of("quote"), n_cols.cast("string")).isin([f"{a}\u0001{q}\u0001{n}" for a, q, n in sorted(trusted)])
+        perm = perm.when(of("parser") == number, read)
+    plain = of("parser") >= -1
     doubtful = F.coalesce(strange | ~plain | (F.length(text) >= LONG), F.lit(False))
     rows = rows.withColumn(f"{f}d", _once(doubtful))
     rows = rows.withColumns({f"{f}p": F.when(~F.col(f"{f}d"), perm), f"{f}t": F.when(F.col(f"{f}d"), text)})
