@@ -372,8 +372,8 @@ def divide(
         n = rows.count()
         ndiv = max(1, round(n / spec.nrows))
         who = row_identity(rows, spec.identity)
-        if spec.identity is None:  # repeated rows are told apart by a number, so they spread like others
-            rows = row_numbers(rows.withColumn("_who", F.md5(who)), ["_who"], ["_who"], "_again")
+        if spec.identity is None:
+            rows = _told_apart(rows, F.md5(who))
             who = F.concat_ws(":", "_who", F.col("_again").cast("string"))
         rows = rows.withColumn(KEY, F.concat(F.lit("rr_"), bucket(who, ndiv, spec.seed).cast("string"))).drop("_who", "_again")
         attrs = {"nRow": n, "ndiv_asked": ndiv}
@@ -425,6 +425,22 @@ def _opaque_bsv(div: Division, fn: Callable[[pd.DataFrame], Mapping]) -> Divisio
     return replace(div, bsv_df=side, bsv_desc={k: desc[k] for k in plain})
 
 
+def _told_apart(rows: DataFrame, who: Column) -> DataFrame:
+    """``rows`` with the hash of each (``_who``) and a number among its like (``_again``), so that repeated rows spread as others do.
+
+    Only hashes are counted, combined before the exchange; rows that are unlike
+    all others stay where they are. Those that are repeated are numbered by a
+    distributed sort, spread over the cluster even if they are a third of all.
+    """
+    named = rows.withColumn("_who", who)
+    again = broadcast_if_small(named.groupBy("_who").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_who"))
+    single = named.join(again, "_who", "left_anti").withColumn("_again", F.lit(1).cast("bigint"))
+    many = named.join(again, "_who", "left_semi").withColumn("_at", F.monotonically_increasing_id())
+    many = row_numbers(many, ["_who"], ["_at"], "_again").drop("_at")
+    cols = [*_all(rows), "_who", "_again"]
+    return single.select(*cols).unionByName(many.select(*cols))
+
+
 # -- deferred methods ------------------------------------------------------------------------------------------------
 def add_transform(
     div: Division,

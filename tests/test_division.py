@@ -294,3 +294,17 @@ def test_distinct_values_have_distinct_keys(spark):
     t = spark.createDataFrame([("x|b=y", "z"), ("x", "y|b=z"), ("a\\", "z|b=w"), ("a|b=z", "w"), ("a|b", "c=d")], "a string, b string")
     keys = [r[0] for r in divide(t, ["a", "b"]).rows().select("_key").collect()]
     assert len(set(keys)) == 5 and keys[4] == "a=a|b|b=c=d"
+
+
+def test_random_division_of_repeated_rows(spark):
+    """Rows without an identity: the same subsets under any partitioning, repeated rows spread over them, none lost."""
+    rows = [(i, "x") for i in range(300)] + [(7, "y")] * 400 + [(8, None)] * 2
+    df = spark.createDataFrame(rows, "a int, b string")
+    sizes = []
+    for parts in (1, 7):
+        div = divide(df.repartition(parts), rr_div(100, seed=3)).rows()
+        assert div.count() == 702 and div.columns == ["a", "b", "_key"]
+        sizes.append(sorted((r["_key"], r["a"], r["b"] or "", r["n"]) for r in div.groupBy("_key", "a", "b").agg(F.count("*").alias("n")).collect()))
+    assert sizes[0] == sizes[1]
+    hot = [n for _, a, b, n in sizes[0] if (a, b) == (7, "y")]
+    assert len(hot) == 7 and min(hot) > 25
