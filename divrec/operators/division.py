@@ -180,8 +180,10 @@ class Division:
         first = self.df.agg(F.min(KEY)).first()[0]
         return self._pair(first)
 
-    def _pair(self, key: Any) -> Pair | None:
-        rows = replace(self, df=self.df.where(F.col(KEY) == F.lit(key)), attrs={}).rows().toPandas()
+    def _pair(self, key: Any, max_rows: int = 5_000_000) -> Pair | None:
+        rows = replace(self, df=self.df.where(F.col(KEY) == F.lit(key)), attrs={}).rows().limit(max_rows + 1).toPandas()
+        if len(rows) > max_rows:
+            raise MemoryError(f"the subset of key {key!r} has more than {max_rows} rows")
         if rows.empty:
             return None
         if self.is_ddo:
