@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from divrec.llm.text import word_spans, words
+from divrec.llm.text import portions, word_spans, words
 from divrec.runtime import fresh, require_columns, stage
 
 #: Words of test items in one automaton (some 60 bytes each); more items go in further blocks.
@@ -299,7 +299,7 @@ def _over_blocks(rows: DataFrame, items: DataFrame, run: Callable, schema: T.Str
             shared = _shared(spark, blocks)
 
             def pick(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
+                for batch in portions(batches, 1):
                     able = _possible([words(b) for b in batch.column(1).to_pylist()], shared.value["hashes"], shared.value["owner"], min_words)
                     if able:
                         yield batch.take(pa.array(sorted(able)))
@@ -339,7 +339,7 @@ def leaks(
 
     def run(shared) -> Callable:
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in portions(batches, 1):
                 res = []
                 for at, seq, found in _covered(shared, batch.column(1).to_pylist(), min_words):
                     res += [(at, key, len(seq), sum(e - s for s, e in spans), [list(x) for x in spans]) for key, spans in found.items()]
@@ -375,9 +375,11 @@ def clean_documents(
 
     def cut(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for a in texts:
-            bodies = a.to_pylist()
-            found = {at: sorted(x for s in spans.values() for x in s) for at, _, spans in _covered(shared, bodies, min_words)} if shared is not None else {}
-            res = [_cut(b, found.get(i), max_span, max_coverage) for i, b in enumerate(bodies)]
+            res = []
+            for part in portions(iter([pa.record_batch([a], ["text"])]), 0):
+                bodies = part.column(0).to_pylist()
+                found = {at: sorted(x for s in spans.values() for x in s) for at, _, spans in _covered(shared, bodies, min_words)} if shared is not None else {}
+                res += [_cut(b, found.get(i), max_span, max_coverage) for i, b in enumerate(bodies)]
             yield pa.array([dict(zip(("text", "coverage", "verdict"), r)) for r in res], pa.struct([("text", pa.string()), ("coverage", pa.float64()), ("verdict", pa.string())]))
 
     cut.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}

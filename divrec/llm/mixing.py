@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from divrec.llm.text import words
+from divrec.llm.text import portions, words
 from divrec.runtime import require_columns, stage
 
 #: Labelled documents the classifier is fitted on, taken by hash of their id; everything else covers all documents.
@@ -79,7 +79,7 @@ def _feature_rows(seqs: list[list[str]]) -> np.ndarray:
 
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches, 1):
         rows = _feature_rows([words(body) for body in batch.column(1).to_pylist()])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary()), batch.column(2), batch.column(3)], names=["s", "x", "h", "i"])
 
@@ -337,7 +337,7 @@ def mix_sources(
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, w, vocabulary = shared.value
         size = _load_tokenizer(vocabulary) if vocabulary else None
-        for batch in batches:
+        for batch in portions(batches, 2):
             names, bodies = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             home = np.array([-1 if s is None else index.get(s, n - 1) for s in names], np.int64)
             free = np.flatnonzero(home < 0)
