@@ -24,6 +24,9 @@ from divrec.runtime import broadcast_if_small, stage
 
 ROWS_PER_BLOCK, LINES_PER_BLOCK, HEAD_LINES = 50_000, 10_000, 1000
 
+#: Splits of files whose places are broadcast; of more, lines with quoted line ends among them are joined with their split's place.
+MAX_SPLITS = 100_000
+
 _SPLIT = ["_path", "_at"]
 
 
@@ -161,7 +164,7 @@ class _Lines:
         cur["n"] += n
         return total
 
-    def assemble(self, where: dict | None = None) -> Callable:
+    def assemble(self) -> Callable:
         """A function for mapInArrow over lines with their split's ``_open`` and ``_off``: pieces of records, numbered; a record that goes on in another split has several."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,10 +257,13 @@ def _records(lines: DataFrame, how: _Lines) -> tuple[DataFrame, str | None, bool
 
     states = stage(splits.groupBy("_path").applyInPandas(follow, "_path string, _at bigint, _open boolean, kept bigint"), "states")
     placed = ordered_scan(states, [], _SPLIT, sums={"_upto": "kept"}).select("_path", "_at", "_open", (F.col("_upto") - F.col("kept")).alias("_off"))
-    spots = broadcast_if_small(placed)
-    side = spots.withColumnsRenamed({"_path": "_sp", "_at": "_sa"})
-    if placed.count() > 0:
-        base = base.join(F.broadcast(side), (F.col("_path") == F.col("_sp")) & (F.col("_at") == F.col("_sa"))).drop("_sp", "_sa")  # one row a split; lines must keep their order
+    side = placed.withColumnsRenamed({"_path": "_sp", "_at": "_sa"})
+    same = (F.col("_path") == F.col("_sp")) & (F.col("_at") == F.col("_sa"))
+    if side.limit(MAX_SPLITS + 1).count() <= MAX_SPLITS:  # one small row a split; the lines stay in order
+        base = base.join(F.broadcast(side), same).drop("_sp", "_sa")
+    else:  # the lines are joined by their split and put in order again
+        base = base.withColumn("_seq", F.monotonically_increasing_id()).join(side.hint("merge"), same).drop("_sp", "_sa")
+        base = base.repartition("_path", "_at").sortWithinPartitions("_path", "_at", "_seq")
     pieces = stage(base.mapInArrow(how.assemble(), _PIECE), "pieces")
     rest = pieces.where("not whole").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "value"))).alias("_p"))
     rest = rest.select("_row", F.array_join(F.transform("_p", lambda p: p["value"]), "\n").alias("value"))  # records over the end of a split: at most one a split
