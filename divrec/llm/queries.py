@@ -59,8 +59,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_freq_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten most frequent values of y with exact counts."""
-    return frequency_table(table(spark, sf_dir, "many_levels"), "y", 10).select(F.col("item").alias("y"), "n", "total")
+    """The ten most frequent values of y with exact counts, and whether their ranks are certain."""
+    return frequency_table(table(spark, sf_dir, "many_levels"), "y", 10).select(F.col("item").alias("y"), "n", "total", "certain")
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +173,18 @@ _REPEATED = f"""{_DOCS}, r AS ({_runs_sql('d', 'doc_id', 6)}), a AS (SELECT doc_
  c AS (SELECT doc_id, count(DISTINCT p) AS repeated_words FROM (SELECT doc_id, unnest(range(i, i + 6)) AS p FROM a WHERE again) GROUP BY 1),
  s AS (SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, coalesce(repeated_words, 0) AS repeated_words FROM d LEFT JOIN c USING (doc_id))"""
 
+
+
+def _parts_sql(name: str, parts: str) -> str:
+    """Words in parts of a text that are the same, as words, as an earlier part."""
+    return f"""{name}_p AS (SELECT doc_id, i, {_words_sql('parts[i]')} AS w FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, {parts} AS parts FROM documents WHERE text IS NOT NULL))),
+ {name}_a AS (SELECT doc_id, len(w) AS n, i > min(i) OVER (PARTITION BY doc_id, array_to_string(w, ' ')) AS again FROM {name}_p WHERE len(w) > 0), {name} AS (SELECT doc_id, sum(n) AS n FROM {name}_a WHERE again GROUP BY 1)"""
+
+
 ORACLES = {
+    "p9_shares": f"""WITH {_REPEATED}, {_parts_sql('sen', "string_split(translate(text, '!?', '..'), '.')")}, {_parts_sql('par', "string_split(text, chr(10))")}
+ SELECT s.doc_id, n_words, repeated_words, round(coalesce(repeated_words / nullif(n_words, 0), 0), 6) AS share, round(coalesce(sen.n / nullif(n_words, 0), 0), 6) AS sentence_share,
+  round(coalesce(par.n / nullif(n_words, 0), 0), 6) AS paragraph_share FROM s LEFT JOIN sen USING (doc_id) LEFT JOIN par USING (doc_id)""",
     "p5_totals": """WITH b AS (SELECT *, sz * CASE WHEN sz_unit = 'KiB' THEN 1024 ELSE 1 END AS bytes FROM mr_files),
  l AS (SELECT *, row_number() OVER (PARTITION BY job_id, fp ORDER BY attempt DESC, written_at DESC, bytes DESC) AS rn FROM b)
  SELECT l.job_id, CAST(sum(greatest(1, (l.bytes + j.map_buff_size_bytes - 1) // j.map_buff_size_bytes)) AS BIGINT) AS pieces, CAST(sum(l.bytes) AS BIGINT) AS bytes, true AS fits, true AS enough
@@ -196,7 +207,7 @@ ORACLES = {
  SELECT spec_id, grp, CAST(round(prob * 1000) AS INTEGER) AS prob_pm, n, round(CASE WHEN w = 0 OR a = b THEN a ELSE a + w * (b - a) END, 6) AS q FROM e""",
     "p1_daily": f"""WITH {_ONCE} SELECT spec_id, grp, CAST(load_day AS VARCHAR) AS load_day, count(*) AS n, quantile_disc(value, 0.5) AS q FROM s GROUP BY ALL""",
     "p4_found": """SELECT y FROM many_levels WHERE y IS NOT NULL GROUP BY y HAVING count(*) * 200 >= (SELECT count(y) FROM many_levels)""",
-    "p4_freq_table": """SELECT y, count(*) AS n, (SELECT count(y) FROM many_levels) AS total FROM many_levels WHERE y IS NOT NULL GROUP BY y ORDER BY n DESC, y LIMIT 10""",
+    "p4_freq_table": """SELECT y, count(*) AS n, (SELECT count(y) FROM many_levels) AS total, count(*) * 2048 > (SELECT count(y) FROM many_levels) AS certain FROM many_levels WHERE y IS NOT NULL GROUP BY y ORDER BY n DESC, y LIMIT 10""",
     "p5_found": """WITH b AS (SELECT *, sz * CASE WHEN sz_unit = 'KiB' THEN 1024 ELSE 1 END AS bytes FROM mr_files),
  l AS (SELECT *, row_number() OVER (PARTITION BY job_id, fp ORDER BY attempt DESC, written_at DESC, bytes DESC) AS rn FROM b)
  SELECT l.job_id, l.fp FROM l JOIN mr_jobs j USING (job_id) WHERE rn = 1 AND l.bytes > j.map_buff_size_bytes""",
