@@ -10,7 +10,7 @@ from divrec.llm.frequent import frequency_table, frequent_items
 from divrec.llm.mixing import mix_sources, unreachable
 from divrec.llm.packing import latest_attempts, pack_items, pack_report
 from divrec.llm.quantiles import first_deliveries, merge_states, quantile_states, quantiles
-from divrec.llm.repetition import perplexities, perplexity_bands, repeated_shares
+from divrec.llm.repetition import LANG3, perplexities, perplexity_bands, repeated_shares
 
 #: Place of the vocabulary that sizes are measured with where tokens are asked for.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -181,7 +181,29 @@ def _parts_sql(name: str, parts: str) -> str:
  {name}_a AS (SELECT doc_id, len(w) AS n, i > min(i) OVER (PARTITION BY doc_id, array_to_string(w, ' ')) AS again FROM {name}_p WHERE len(w) > 0), {name} AS (SELECT doc_id, sum(n) AS n FROM {name}_a WHERE again GROUP BY 1)"""
 
 
+def _level_sql(order: int, types: str, context: str) -> str:
+    """Discounts of an order of n-grams, and their discounted counts with totals and freed mass of their context."""
+    y = "(t1 / nullif(t1 + 2 * t2, 0))"
+    d = [f"{k} - {k + 1} * {y} * t{k + 1} / nullif(t{k}, 0)" for k in (1, 2, 3)]
+    counts = ", ".join(f"CAST(count(*) FILTER (n = {k}) AS DOUBLE) AS t{k}" for k in (1, 2, 3, 4))
+    ok = ", ".join(f"coalesce(CASE WHEN {x} > 0 AND {x} < {k} THEN {x} END, {k / 2}) AS d{k}" for k, x in enumerate(d, 1))
+    return f"""e{order} AS (SELECT lang, {ok} FROM (SELECT lang, {counts} FROM {types} GROUP BY 1)),
+ l{order} AS (SELECT *, sum(n) OVER x AS total, sum(dn) OVER x AS freed, count(*) OVER x AS v FROM (SELECT {types}.*, CASE n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END AS dn FROM {types} JOIN e{order} USING (lang)) WINDOW x AS (PARTITION BY {context}))"""
+
+
+_LANG = "coalesce(nullif(CASE x " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in LANG3.items()) + " ELSE x END, ''), 'und')"
+_KNESER_NEY = f"""d AS (SELECT doc_id, {_LANG} AS lang, list_concat(['^ ', '^ '], coalesce(w, []), ['$ ']) AS w FROM (SELECT doc_id, lower(regexp_extract(trim(lang), '^([A-Za-z]+)', 1)) AS x, {_words_sql('text')} AS w FROM documents)),
+ g AS (SELECT doc_id, lang, w[i - 2] AS a, w[i - 1] AS b, w[i] AS c FROM (SELECT *, unnest(range(3, len(w) + 1)) AS i FROM d)),
+ t3 AS (SELECT lang, a, b, c, count(*) AS n FROM g GROUP BY ALL), t2 AS (SELECT lang, b, c, count(*) AS n FROM t3 GROUP BY ALL), t1 AS (SELECT lang, c, count(*) AS n FROM t2 GROUP BY ALL),
+ {_level_sql(1, 't1', 'lang')}, {_level_sql(2, 't2', 'lang, b')}, {_level_sql(3, 't3', 'lang, a, b')},
+ p1 AS (SELECT lang, c, (n - dn + freed / v) / total AS p FROM l1), p2 AS (SELECT l2.lang, l2.b, l2.c, (n - dn + freed * p1.p) / total AS p FROM l2 JOIN p1 ON l2.lang = p1.lang AND l2.c = p1.c),
+ p3 AS (SELECT l3.lang, l3.a, l3.b, l3.c, (n - dn + freed * p2.p) / total AS p FROM l3 JOIN p2 ON l3.lang = p2.lang AND l3.b = p2.b AND l3.c = p2.c),
+ s AS (SELECT doc_id, g.lang, count(*) - 1 AS n_words, exp(-avg(ln(p))) AS perplexity FROM g JOIN p3 ON g.lang = p3.lang AND g.a = p3.a AND g.b = p3.b AND g.c = p3.c GROUP BY 1, 2)"""
+
 ORACLES = {
+    "p9_perplexity": f"""WITH {_KNESER_NEY}, r AS (SELECT lang, perplexity, row_number() OVER (PARTITION BY lang ORDER BY perplexity) AS k, count(*) OVER (PARTITION BY lang) AS n FROM s),
+ b AS (SELECT lang, max(CASE WHEN k = greatest(1, ceil(0.02 * n)) THEN perplexity END) AS lower, max(CASE WHEN k = greatest(1, ceil(0.98 * n)) THEN perplexity END) AS upper FROM r GROUP BY 1)
+ SELECT doc_id, lang, n_words, round(perplexity, 6) AS perplexity, round(lower, 6) AS lower, round(upper, 6) AS upper, CASE WHEN perplexity < lower THEN 'low' WHEN perplexity > upper THEN 'high' ELSE 'keep' END AS verdict FROM s JOIN b USING (lang)""",
     "p9_shares": f"""WITH {_REPEATED}, {_parts_sql('sen', "string_split(translate(text, '!?', '..'), '.')")}, {_parts_sql('par', "string_split(text, chr(10))")}
  SELECT s.doc_id, n_words, repeated_words, round(coalesce(repeated_words / nullif(n_words, 0), 0), 6) AS share, round(coalesce(sen.n / nullif(n_words, 0), 0), 6) AS sentence_share,
   round(coalesce(par.n / nullif(n_words, 0), 0), 6) AS paragraph_share FROM s LEFT JOIN sen USING (doc_id) LEFT JOIN par USING (doc_id)""",
