@@ -8,12 +8,12 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from divrec.operators.division import KEY, Division
-from divrec.runtime import clean, grouped_pandas, require_columns
+from divrec.runtime import broadcast_if_small, clean, grouped_pandas, require_columns, stage
 
 COEF = "term string, coef double, n bigint"
 
@@ -41,6 +41,23 @@ def _level_name(c: str, level: Any) -> str:
     return f"{c}{str(level).upper() if isinstance(level, bool) else level}"
 
 
+def _design(rows: DataFrame, y: str, xs: Sequence[str], factors: dict[str, list], weights: str | None, offset: str | None) -> tuple[list[tuple[str, Column]], list[tuple[int, int]], Column]:
+    """The columns of a model with their names, (first, last) columns of each factor, and whether a row is complete."""
+    design, blocks = [], []
+    whole = clean(rows, y).isNotNull()
+    for c in (weights, offset):
+        whole = whole & clean(rows, c).isNotNull() if c else whole
+    for c in xs:
+        if c in factors:
+            blocks.append((len(design), len(design) + len(factors[c])))
+            design += [(_level_name(c, v), (F.col(f"`{c}`") == F.lit(v)).cast("double")) for v in factors[c]]
+            whole = whole & F.col(f"`{c}`").isNotNull()
+        else:
+            design.append((c, clean(rows, c)))
+            whole = whole & clean(rows, c).isNotNull()
+    return design, blocks, whole
+
+
 def dr_lm(div: Division, y: str, xs: Sequence[str], weights: str | None = None, offset: str | None = None) -> Division:
     """Least squares per subset: rows ``term, coef, n`` (``n`` counts all rows, those left out for missing values too).
 
@@ -58,18 +75,7 @@ def dr_lm(div: Division, y: str, xs: Sequence[str], weights: str | None = None,
     factors = _levels(rows, xs)
     if y in _levels(rows, [y]):
         raise ValueError(f"{y} is no number")
-    design, blocks = [], []  # columns; (first, last) columns of each factor
-    whole = clean(rows, y).isNotNull()
-    for c in (weights, offset):
-        whole = whole & clean(rows, c).isNotNull() if c else whole
-    for c in xs:
-        if c in factors:
-            blocks.append((len(design), len(design) + len(factors[c])))
-            design += [(_level_name(c, v), (F.col(f"`{c}`") == F.lit(v)).cast("double")) for v in factors[c]]
-            whole = whole & F.col(f"`{c}`").isNotNull()
-        else:
-            design.append((c, clean(rows, c)))
-            whole = whole & clean(rows, c).isNotNull()
+    design, blocks, whole = _design(rows, y, xs, factors, weights, offset)
     names, p = [t for t, _ in design], len(design)
     target = clean(rows, y) - clean(rows, offset) if offset else clean(rows, y)
     values = [target, *[v for _, v in design]]
@@ -164,12 +170,15 @@ def irls(
     return beta
 
 
-def dr_glm(div: Division, y: str, xs: Sequence[str], family: str = "gaussian", link: str | None = None, weights: str | None = None, offset: str | None = None) -> Division:
+def dr_glm(div: Division, y: str, xs: Sequence[str], family: str = "gaussian", link: str | None = None, weights: str | None = None, offset: str | None = None, spread: bool = False) -> Division:
     """Generalised linear model per subset (gaussian, binomial, poisson, gamma; any of LINKS): rows ``term, coef, n``.
 
-    Text and boolean predictors are factors as in ``dr_lm``. A subset is fitted
-    in one task, so divide at random first where subsets are large. Rows with
-    missing values are left out of the fit and counted in n.
+    Text and boolean predictors are factors as in ``dr_lm``. Rows with missing
+    values are left out of the fit and counted in n. A subset is fitted in one
+    task; divide at random first where subsets are large, or set ``spread``:
+    then a round of reweighting is one aggregation over all rows in the JVM,
+    for all subsets together, and none need fit a task (not for probit). The
+    gaussian model with the identity link is ``dr_lm``.
     """
     if family not in FAMILIES:
         raise ValueError(f"no such family: {family}; there are {', '.join(FAMILIES)}")
@@ -178,7 +187,11 @@ def dr_glm(div: Division, y: str, xs: Sequence[str], family: str = "gaussian", l
     rows = div.rows()
     more = [c for c in (weights, offset) if c]
     require_columns(rows, [y, *xs, *more])
+    if (family, link or "identity") == ("gaussian", "identity"):
+        return dr_lm(div, y, xs, weights, offset)
     factors = _levels(rows, xs)
+    if spread:
+        return _spread_glm(div, rows, y, xs, factors, family, link or FAMILIES[family][0], weights, offset)
     narrow = rows.select(KEY, *div.split_cols, *[(F.col(f"`{c}`") if c in factors else clean(rows, c)).alias(f"_v{i}") for i, c in enumerate([y, *xs, *more])])
     split = list(div.split_cols)
     schema = T.StructType([narrow.schema[c] for c in (KEY, *split)] + T._parse_datatype_string(COEF).fields)
@@ -204,6 +217,91 @@ def dr_glm(div: Division, y: str, xs: Sequence[str], family: str = "gaussian", l
     return Division(grouped_pandas(narrow, KEY, fit, schema), div.split_cols, div.spec)
 
 
+#: LINKS and FAMILIES for columns.
+_LINK_COLUMNS = {
+    "identity": (lambda e: e, lambda e: F.lit(1.0), lambda m: m),
+    "logit": (lambda e: 1 / (1 + F.exp(-e)), lambda e: 1 / (1 + F.exp(-e)) / (1 + F.exp(e)), lambda m: F.log(m / (1 - m))),
+    "cloglog": (lambda e: -F.expm1(-F.exp(e)), lambda e: F.exp(e - F.exp(e)), lambda m: F.log(-F.log1p(-m))),
+    "log": (F.exp, F.exp, F.log),
+    "inverse": (lambda e: 1 / e, lambda e: -1 / (e * e), lambda m: 1 / m),
+    "sqrt": (lambda e: e * e, lambda e: 2 * e, F.sqrt),
+}
+_FAMILY_COLUMNS = {
+    "gaussian": (lambda m: F.lit(1.0), lambda y: y),
+    "binomial": (lambda m: m * (1 - m), lambda y: (y + 0.5) / 2),
+    "poisson": (lambda m: m, lambda y: y + 0.1),
+    "gamma": (lambda m: m * m, lambda y: F.greatest(y, F.lit(1e-8))),
+}
+
+
+def _spread_glm(
+    div: Division, rows: DataFrame, y: str, xs: Sequence[str], factors: dict[str, list], family: str, link: str, weights: str | None, offset: str | None, rounds: int = 50, tol: float = 1e-10
+) -> Division:
+    """``dr_glm`` without a subset in one task: sums of weighted products per round, small systems solved many at a time."""
+    if link not in _LINK_COLUMNS:
+        raise ValueError(f"the {link} link is not for spread fits")
+    design, blocks, whole = _design(rows, y, xs, factors, weights, offset)
+    names, p = ["(Intercept)", *(t for t, _ in design)], len(design) + 1
+    one = lambda c, other: clean(rows, c) if c else F.lit(other)
+    part = rows.select(KEY, *div.split_cols, whole.alias("_w"), clean(rows, y).alias("_y"), F.lit(1.0).alias("_x0"), *[v.alias(f"_x{i}") for i, (_, v) in enumerate(design, 1)], one(weights, 1.0).alias("_wt"), one(offset, 0.0).alias("_off"))
+    part = stage(part, "design")
+    heads = part.groupBy(KEY, *div.split_cols).agg(F.count(F.lit(1)).alias("n"))
+    used = part.where("_w").drop(*div.split_cols)
+    inverse, slope, forward = _LINK_COLUMNS[link]
+    variance, first = _FAMILY_COLUMNS[family]
+    x = [F.col(f"_x{i}") for i in range(p)]
+
+    def solve(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for products, right, sums in parts:
+            out = []
+            for a, b, there in zip(products, right, sums):
+                a, b, there = np.asarray(a, float).reshape(p, p), np.asarray(b, float), np.asarray(there, float)
+                keep = list(range(p))
+                for s, e in blocks:  # of the levels that occur, the first is the base
+                    held = [i for i in range(s + 1, e + 1) if there[i] > 0]
+                    keep = [i for i in keep if not s < i <= e or i in held[1:]]
+                scale = np.sqrt(np.maximum(np.diag(a)[keep], 1e-300))  # columns of like size, for a sound solution
+                beta = np.linalg.lstsq(a[np.ix_(keep, keep)] / scale[:, None] / scale, b[keep] / scale, rcond=1e-13)[0] / scale
+                full: list[float | None] = [None] * p
+                for i, v in zip(keep, beta):
+                    full[i] = float(v)
+                out.append(full)
+            yield pd.Series(out)
+
+    solve.__annotations__ = {"parts": Iterator[tuple[pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    beta = None
+    for _ in range(rounds):
+        if beta is None:
+            now, eta = used, forward(first(F.col("_y")))
+        else:
+            side = broadcast_if_small(beta.select(F.col(KEY).alias("_bk"), F.col("beta").alias("_b")))
+            now = used.join(side, F.col(KEY).eqNullSafe(F.col("_bk")))
+            eta = F.col("_off")
+            for i, c in enumerate(x):
+                eta = eta + F.coalesce(F.get("_b", F.lit(i)), F.lit(0.0)) * c
+        now = now.withColumn("_e", eta).withColumn("_mu", inverse(F.col("_e"))).withColumn("_d", slope(F.col("_e")))
+        d = F.when(F.abs("_d") < 1e-12, 1e-12).otherwise(F.col("_d"))
+        now = now.withColumn("_ww", F.col("_wt") * F.greatest(F.col("_d") * F.col("_d") / F.greatest(variance(F.col("_mu")), F.lit(1e-12)), F.lit(1e-12)))
+        now = now.withColumn("_z", F.col("_e") - F.col("_off") + (F.col("_y") - F.col("_mu")) / d)
+        sums = now.groupBy(KEY).agg(
+            F.array(*[F.sum(F.col("_ww") * a * b) for a in x for b in x]).alias("_p"), F.array(*[F.sum(F.col("_ww") * a * F.col("_z")) for a in x]).alias("_r"), F.array(*[F.sum(a) for a in x]).alias("_s")
+        )
+        new = stage(sums.select(KEY, F.pandas_udf(solve, T.ArrayType(T.DoubleType()))("_p", "_r", "_s").alias("beta")), "beta")  # one row a subset
+        if beta is not None:
+            both = new.join(beta.select(F.col(KEY).alias("_bk"), F.col("beta").alias("_b")), F.col(KEY).eqNullSafe(F.col("_bk")))
+            size = lambda v: F.coalesce(v, F.lit(0.0))
+            step = F.array_max(F.zip_with("beta", "_b", lambda u, v: F.abs(size(u) - size(v))))
+            open_ = both.where(step >= tol * (1 + F.array_max(F.transform("beta", lambda v: F.abs(size(v)))))).limit(1).count()
+            beta = new
+            if not open_:
+                break
+        beta = new
+    found = beta.select(F.col(KEY).alias("_bk"), F.filter(F.arrays_zip(F.array(*[F.lit(t) for t in names]).alias("term"), F.col("beta").alias("coef")), lambda t: t["coef"].isNotNull()).alias("_t"))
+    none = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(None).cast("double").alias("coef")) for i, t in enumerate(names) if not any(s < i <= e for s, e in blocks)])  # of a subset without complete rows
+    res = heads.join(found, F.col(KEY).eqNullSafe(F.col("_bk")), "left").withColumn("_t", F.explode(F.coalesce("_t", none)))
+    return Division(res.select(KEY, *div.split_cols, "_t.term", "_t.coef", "n"), div.split_cols, div.spec)
+
+
 def blb(pdf: pd.DataFrame, statistic: Callable, metric: Callable, r: int, n: int, seed: int = 0) -> np.ndarray:
     """Bag of little bootstraps on one subset of b rows.
 

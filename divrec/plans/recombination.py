@@ -609,8 +609,17 @@ def lm_factor(s, d):
 
 def glm_score(s, d):
     """The score equations of logistic regressions with a factor, at the fitted coefficients: all zero."""
+    return _score(s, d, False)
+
+
+def glm_spread(s, d):
+    """The same of fits in which no subset is in one task."""
+    return _score(s, d, True)
+
+
+def _score(s, d, spread):
     census = table(s, d, "census").select("race", "incomebin", "age", "sex")
-    fit = dr_glm(divide(census, "race"), "incomebin", ["age", "sex"], "binomial").rows()
+    fit = dr_glm(divide(census, "race"), "incomebin", ["age", "sex"], "binomial", spread=spread).rows()
     wide = fit.groupBy("race").agg(F.map_from_entries(F.collect_list(F.struct("term", "coef"))).alias("b"))
     clean_age = F.when(~F.isnan(F.col("age").cast("double")), F.col("age").cast("double"))
     rows = census.withColumn("age", clean_age).where("age is not null and sex is not null and incomebin is not null")
@@ -674,7 +683,7 @@ QUERIES = {
         moments_merge, mr_range, mr_multi_source, mr_counters, mr_ddo_identity, single_frame, read_csv_roundtrip, read_csv2_roundtrip, read_delim_roundtrip,
         read_delim2_roundtrip, read_table_blanks, read_blocks, chunked_text, stream_append, hdfs_roundtrip, memory_convert, overwrite_backup, recombine_to_path, bins_every_key,
         stream_into_kept, subset_variables, join_function, moments_local, mr_control, mr_reduce_counters, get_keys, summary_attribute, first_pair, as_list, printed, split_size_distn,
-        lm_factor, glm_score, quantile_infinite, read_csv_quoted_lines, read_csv_late_misfit, chunked_text_keys,
+        lm_factor, glm_score, glm_spread, quantile_infinite, read_csv_quoted_lines, read_csv_late_misfit, chunked_text_keys,
     )
 }
 
@@ -743,7 +752,7 @@ ORACLES = {
  SELECT bytes, ndiv, CAST(unnest(range(0, 101)) AS INTEGER) AS pct, round(CAST(unnest(l) AS DOUBLE), 4) AS size FROM q""",
     "lm_factor": """WITH g AS (SELECT o_orderstatus, o_orderpriority AS p, avg(o_totalprice) AS m FROM orders GROUP BY 1, 2), b AS (SELECT o_orderstatus, min(p) AS p0, arg_min(m, p) AS m0 FROM g GROUP BY 1), c AS (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1)
  SELECT o_orderstatus, CASE WHEN p = p0 THEN '(Intercept)' ELSE 'o_orderpriority' || p END AS term, round(CASE WHEN p = p0 THEN m ELSE m - m0 END, 3) AS coef, n FROM g JOIN b USING (o_orderstatus) JOIN c USING (o_orderstatus)""",
-    "glm_score": "SELECT DISTINCT race, 0e0 AS s0, 0e0 AS s_age FROM census WHERE age IS NOT NULL AND sex IS NOT NULL AND incomebin IS NOT NULL",
+    **dict.fromkeys(("glm_score", "glm_spread"), "SELECT DISTINCT race, 0e0 AS s0, 0e0 AS s_age FROM census WHERE age IS NOT NULL AND sex IS NOT NULL AND incomebin IS NOT NULL"),
     "quantile_infinite": f"""SELECT 'finite' AS what, fval, round(q, 4) AS q FROM ({_quantile_sql('l_extendedprice', None, 'lineitem', 1000, '(SELECT unnest([0.25e0, 0.5e0, 0.75e0]) AS fval)')})
  UNION ALL SELECT 'infinite', fval, round(q, 4) FROM (WITH r AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, (max(l_extendedprice) - min(l_extendedprice)) / 999e0 AS dl FROM lineitem WHERE l_linenumber <> 7),
   b AS (SELECT CAST(ceil(((CASE WHEN l_linenumber = 7 THEN hi ELSE l_extendedprice END) - (lo - dl / 2e0)) / dl) AS INT) AS idx, count(*) AS f FROM lineitem, r GROUP BY ALL),

@@ -93,3 +93,24 @@ def test_links(family, link):
     eta = x @ irls(x, y, family, link=link)
     m = LINKS[link][0](eta)
     assert x.T @ ((y - m) * LINKS[link][1](eta) / FAMILIES[family][1](m)) == pytest.approx([0, 0], abs=1e-5)
+
+
+@pytest.mark.parametrize(("family", "link"), [("binomial", None), ("binomial", "cloglog"), ("poisson", None), ("poisson", "sqrt"), ("gamma", None), ("gamma", "log"), ("gaussian", "log")])
+def test_spread_fit_is_the_fit_in_one_task(spark, family, link):
+    rng = np.random.default_rng(12)
+    n = 600
+    f = pd.DataFrame({"x": rng.uniform(0.2, 1, n), "c": rng.choice(["p", "q", "r"], n), "g": rng.choice(["a", "b", "c"], n), "w": rng.integers(1, 4, n).astype(float), "o": rng.normal(scale=0.1, size=n)})
+    f.loc[f["g"] == "b", "c"] = f.loc[f["g"] == "b", "c"].replace("p", "q")  # a subset without a level
+    eta = 0.4 + 0.5 * f["x"] + 0.2 * (f["c"] == "r")
+    mu = {"binomial": 1 / (1 + np.exp(-eta)), "poisson": np.exp(eta), "gamma": np.exp(eta), "gaussian": np.exp(eta)}[family]
+    f["y"] = {"binomial": lambda: (rng.random(n) < mu).astype(float), "poisson": lambda: rng.poisson(mu).astype(float), "gamma": lambda: rng.gamma(4, mu / 4), "gaussian": lambda: mu + rng.normal(scale=0.1, size=n)}[family]()
+    f.loc[3, "x"], f.loc[f["g"] == "c", "y"] = np.nan, np.nan  # a subset without complete rows
+    div = divide(spark.createDataFrame(f), "g")
+    args = {"family": family, "link": link, "weights": "w", "offset": "o" if family != "gamma" or link else None}
+    key = lambda d: {(r["g"], r["term"]): (r["coef"], r["n"]) for r in d.rows().collect()}
+    one, many = key(dr_glm(div, "y", ["x", "c"], **args)), key(dr_glm(div, "y", ["x", "c"], **args, spread=True))
+    assert {k for k in many if k[0] != "c"} == {k for k in one if k[0] != "c"}
+    assert all(many[k] == (pytest.approx(one[k][0], rel=1e-6, abs=1e-7), one[k][1]) for k in many if k[0] != "c")
+    assert many[("c", "(Intercept)")][0] is None and many[("c", "x")][1] == (f["g"] == "c").sum()
+    with pytest.raises(ValueError, match="probit"):
+        dr_glm(div, "y", ["x"], "binomial", link="probit", spread=True)
