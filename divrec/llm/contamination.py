@@ -172,9 +172,6 @@ class _Block:
         self.size = sum(len(seq) for _, seq in items)
         self.hashes = np.unique(np.concatenate([run_hashes(seq, min_words) for _, seq in items]))
 
-    def sequences(self) -> list[tuple[int, list[str]]]:
-        return [(key, text.split(" ")) for key, text in self.items]
-
 
 def _automaton(shared: dict, number: int) -> SuffixAutomaton:
     """The automaton of a block, built once in a worker process; the ``HELD_BLOCKS`` used last are held.
@@ -188,8 +185,8 @@ def _automaton(shared: dict, number: int) -> SuffixAutomaton:
     if key not in built:
         while len(built) >= HELD_BLOCKS:
             built.popitem(last=False)
-        block = shared["blocks"][number]
-        built[key] = SuffixAutomaton(block.sequences(), block.min_words)
+        items, min_words = shared["blocks"][number]
+        built[key] = SuffixAutomaton([(item, text.split(" ")) for item, text in items], min_words)
     built.move_to_end(key)
     return built[key]
 
@@ -250,11 +247,11 @@ def _possible(seqs: list[list[str]], hashes: np.ndarray, owner: np.ndarray, k: i
 
 
 def _shared(spark, blocks: list[_Block]):
-    """A broadcast of some blocks and their run hashes; bounded by the words of a round."""
+    """A broadcast of some blocks and their run hashes, as plain values; bounded by the words of a round."""
     each = [b.hashes for b in blocks]
     hashes, owner = np.concatenate(each), np.repeat(np.arange(len(each)), [len(h) for h in each])
     order = np.argsort(hashes, kind="stable")
-    return spark.sparkContext.broadcast({"key": uuid.uuid4().hex, "blocks": blocks, "hashes": hashes[order], "owner": owner[order].astype(np.int32)})
+    return spark.sparkContext.broadcast({"key": uuid.uuid4().hex, "blocks": [(b.items, b.min_words) for b in blocks], "hashes": hashes[order], "owner": owner[order].astype(np.int32)})
 
 
 def _covered(shared, bodies: list[str | None], k: int) -> Iterator[tuple[int, list[str], dict[int, list[tuple[int, int]]]]]:

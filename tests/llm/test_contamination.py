@@ -103,3 +103,16 @@ def test_clean_in_one_pass(tables):
     got = sorted((r["doc_id"] or 0, r["verdict"], r["_cut"]) for r in clean_documents(odd, items, max_coverage=0.9).collect())
     assert got == [(0, "drop", "mine"), (1, "cut", "mine"), (1, "keep", "mine")]
     assert clean_documents(docs, items.limit(0)).where("verdict <> 'keep'").count() == 0 and clean_documents(docs.limit(0), items).count() == 0
+
+
+def test_broadcasts_hold_plain_values(tables):
+    """Executors don't have this package, so what is sent must not name its classes."""
+    import pickle
+
+    from divrec.llm.contamination import _shared, item_blocks
+    from divrec.llm.repetition import kneser_ney
+
+    docs, items = tables
+    assert b"divrec" not in pickle.dumps(_shared(docs.sparkSession, list(item_blocks(items, 10))).value)
+    m = kneser_ney(docs.withColumn("lang", F.lit("en")))
+    assert b"divrec" not in pickle.dumps((m.counts, m.contexts, m.langs))
