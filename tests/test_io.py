@@ -207,3 +207,17 @@ def test_attributes_follow_changes(spark, tmp_path, bins):
     # a crash while files were moved in: the marker is missing, the files are there
     next((tmp_path / "k" / "_meta" / "batches").glob("id-1")).unlink()
     assert add_batch(batch, c, "id-1") == 10 and c.read(spark).count() == 21
+
+
+def test_empty_files(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "a.csv").write_text("")
+    got = read_csv(spark, f"{tmp_path}/none")
+    assert got.rows().count() == 0 and got.names == []
+    (tmp_path / "none" / "b.csv").write_text("a,b\n")
+    got = read_csv(spark, f"{tmp_path}/none")
+    assert got.rows().count() == 0 and got.names == ["a", "b"]
+    (tmp_path / "none" / "c.csv").write_text("a,b\n\n1,\"x\n\n\"\n")
+    got = read_csv(spark, f"{tmp_path}/none").rows().collect()
+    assert [(r["a"], r["b"]) for r in got] == [(1, "x\n\n")]
+    assert read_text_chunks(spark, f"{tmp_path}/none/a.csv", lambda v: len(v), "value int").rows().count() == 0
