@@ -122,6 +122,26 @@ def test_held_out_texts_and_pruned_models(spark):
     assert len(fit(docs, keep=(4, 5, 6)).counts[3][0]) <= 6 < len(model.counts[3][0])
 
 
+def test_what_the_arrays_lack_is_scored_exactly(spark):
+    """However few n-grams the arrays hold, perplexities are those of the whole model, of its own texts and of others."""
+    from divrec.llm.repetition import kneser_ney as fit
+
+    rows = [(i, t, "en") for i, t in enumerate(TEXTS)] + [(3, "the cat sat", "en"), (100, "le chat", "fr"), (101, None, None), (102, "", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("row", F.lit(1)).withColumn("p", F.lit("clash"))
+    new = spark.createDataFrame([(0, "the dog sat on the mat", "en"), (1, "unheard words of the cat", "en"), (2, "cat cat cat", "en"), (3, "", "en"), (4, "x", "de"), (5, None, "fr"), (5, "chat le", "fr")], "doc_id bigint, text string, lang string")
+    seen = lambda df: sorted((r["doc_id"], r["lang"], r["n_words"], -1.0 if r["perplexity"] is None else r["perplexity"]) for r in df.collect())
+    whole = fit(docs)
+    want = {texts: seen(perplexities(texts, model=whole)) for texts in (docs, new)}
+    for keep in ((4, 5, 6), (0, 0, 0), (10**6, 3, 10**6)):
+        model = fit(docs, keep=keep)
+        for texts, rows in want.items():
+            got = seen(perplexities(texts, model=model))
+            assert [g[:3] for g in got] == [r[:3] for r in rows] and [g[3] for g in got] == pytest.approx([r[3] for r in rows], rel=1e-9)
+        p = [r["perplexity"] for r in perplexities(docs, model=model).where("doc_id < 100 and n_words <> 3").orderBy("doc_id").collect()]
+        assert p[:8] == p[8:] and p == pytest.approx(kneser_ney([*TEXTS, "the cat sat"])[0][:-1], rel=1e-9)  # equal texts: the same to the last bit
+    assert perplexities(new.limit(0), model=model).count() == 0
+
+
 def test_scoring_moves_no_rows(spark):
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(TEXTS)], "doc_id bigint, text string, lang string")
     assert "Exchange" not in perplexities(docs)._jdf.queryExecution().executedPlan().toString()
