@@ -191,13 +191,42 @@ class Division:
         return Pair(rows[KEY].iloc[0], rows.drop(columns=[KEY, *self.split_cols]))
 
     def extract(self, wanted: Sequence) -> list[Pair | None]:
-        """Pairs by position (in key order), key or md5 of the key, in the order asked for; what is missing is None."""
+        """Pairs by position (in key order), key or md5 of the key, in the order asked for; what is missing is None.
+
+        Their rows come to the driver; ``extract_rows`` takes pairs of any size.
+        """
+        return [None if k is None else self._pair(k) for k in self._keys_of(wanted)]
+
+    def extract_rows(self, wanted: Sequence, place: str = "_place") -> DataFrame:
+        """The rows of the pairs that ``extract`` gives, left on the cluster.
+
+        ``place`` names a column with the place of a row's pair in ``wanted``,
+        from 0: a pair asked for twice comes twice, a missing one has no rows.
+        """
+        names = self.schema.names if self.transforms else self.df.columns
+        if place.lower() in {c.lower() for c in names}:
+            raise ValueError(f"there is a column {place} already; give another name for the places")
+        kind, by = self.df.schema[KEY].dataType, "_asked"
+        while by.lower() in {c.lower() for c in (*names, *self.df.columns, place)}:
+            by += "_"
+        asked = [F.struct(F.lit(i).alias(place), _as_key(k, kind).alias(by)) for i, k in enumerate(self._keys_of(wanted)) if k is not None]
+        if not asked:
+            return self.rows().where(F.lit(False)).withColumn(place, F.lit(0))
+        places = F.broadcast(self.df.sparkSession.range(1).select(F.inline(F.array(*asked))))  # a row for each pair asked for
+        rows = self.df
+        if self.transforms:  # a function may give a pair another key, so the one asked for goes along
+            mine = rows.join(F.broadcast(places.select(by).distinct()), F.col(KEY) == F.col(by))
+            rows = replace(self, df=mine, split_cols=(*self.split_cols, by), schema=T.StructType([*self.schema.fields, T.StructField(by, kind)])).rows()
+            return rows.join(places, by).select(*[F.col(f"`{c}`") for c in (*names, place)])
+        return rows.join(places, F.col(KEY) == F.col(by)).select(*[F.col(f"`{c}`") for c in (*names, place)])
+
+    def _keys_of(self, wanted: Sequence) -> list:
+        """The key of each pair asked for by position, key or md5 of the key; None where a position or an md5 has none."""
         places = [w for w in wanted if isinstance(w, int)]
         keys = self._keys_at(places) if places else {}
         hashes = [w for w in wanted if isinstance(w, str) and len(w) == 32 and all(c in "0123456789abcdef" for c in w)]
         by_hash = {r[1]: r[0] for r in self.df.where(F.md5(KEY).isin(hashes)).select(KEY, F.md5(KEY)).distinct().collect()} if hashes else {}
-        name = lambda w: keys.get(w) if isinstance(w, int) else by_hash.get(w, w)
-        return [None if name(w) is None else self._pair(name(w)) for w in wanted]
+        return [keys.get(w) if isinstance(w, int) else by_hash.get(w, w) for w in wanted]
 
     def _keys_at(self, places: Sequence[int]) -> dict[int, Any]:
         """The keys at some positions in key order (negative: from the end); only those reach the driver."""
@@ -272,6 +301,12 @@ class Division:
         return "\n".join(lines)
 
 
+def _as_key(key: Any, kind: T.DataType) -> Column:
+    """``key`` in the type of the keys; NULL, which matches none, where it is no value of that type."""
+    typed = F.lit(key).try_cast(kind)
+    return typed if isinstance(key, str) else F.when(typed == F.lit(key), typed)
+
+
 def _all(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns]
 

@@ -308,3 +308,27 @@ def test_random_division_of_repeated_rows(spark):
     assert sizes[0] == sizes[1]
     hot = [n for _, a, b, n in sizes[0] if (a, b) == (7, "y")]
     assert len(hot) == 7 and min(hot) > 25
+
+
+def test_pairs_of_any_size_stay_on_the_cluster(spark, flowers, tmp_path):
+    """Pairs by key, position or md5 as rows, those of a changed key too; a subset larger than the driver takes is counted whole."""
+    import hashlib
+
+    from divrec.plans.recombination import extract_by_key
+
+    def sizes(div, wanted):
+        return sorted((r["_place"], r["_key"], r["n"]) for r in div.extract_rows(wanted).groupBy("_place", "_key").agg(F.count("*").alias("n")).collect())
+
+    div = divide(flowers, "kind")
+    wanted = ["kind=oak", "none such", hashlib.md5(b"kind=elm").hexdigest(), 0, -1, 3, "kind=oak"]
+    assert sizes(div, wanted) == [(0, "kind=oak", 50), (2, "kind=elm", 50), (3, "kind=ash", 50), (4, "kind=oak", 50), (6, "kind=oak", 50)]
+    assert div.extract_rows([0]).columns == [*div.rows().columns, "_place"] and div.extract_rows([99, "none such"], "at").count() == 0
+    changed = add_transform(div, lambda k, v: None if k == "kind=ash" else Pair(k[5:], v.head(3)))
+    assert sizes(changed, wanted) == [(0, "oak", 3), (2, "elm", 3), (4, "oak", 3), (6, "oak", 3)]
+    assert changed.extract_rows([1]).columns == [*changed.rows().columns, "_place"]
+    by_number = ddo(spark.createDataFrame([(2.5, "a"), (7.0, "b")], "key double, value string"))
+    assert sizes(by_number, [7.0, "2.5", "x"]) == [(0, 7.0, 1), (1, 2.5, 1)]
+    with pytest.raises(ValueError, match="kind"):
+        div.extract_rows([0], "kind")
+    spark.range(5_000_021).select(F.when(F.col("id") < 20, "A").otherwise("R").alias("l_returnflag"), F.lit("F").alias("l_linestatus")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [tuple(r) for r in extract_by_key(spark, str(tmp_path)).collect()] == [(0, "l_returnflag=R|l_linestatus=F", 5_000_001), (1, None, 0), (2, "l_returnflag=A|l_linestatus=F", 20)]
