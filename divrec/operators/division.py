@@ -176,9 +176,12 @@ class Division:
         return self.attrs.get("summary")
 
     def kv_example(self) -> Pair:
-        """The first pair in key order, functions applied."""
-        first = self.df.agg(F.min(KEY)).first()[0]
-        return self._pair(first)
+        """The first pair in key order, functions applied; its rows come to the driver."""
+        return self._pair(self.example_key())
+
+    def example_key(self) -> Any:
+        """The key of ``kv_example``, for ``extract_rows`` where the pair is larger than the driver takes."""
+        return self.df.agg(F.min(KEY)).first()[0]
 
     def _pair(self, key: Any, max_rows: int = 5_000_000) -> Pair | None:
         rows = replace(self, df=self.df.where(F.col(KEY) == F.lit(key)), attrs={}).rows().limit(max_rows + 1).toPandas()

@@ -332,3 +332,15 @@ def test_pairs_of_any_size_stay_on_the_cluster(spark, flowers, tmp_path):
         div.extract_rows([0], "kind")
     spark.range(5_000_021).select(F.when(F.col("id") < 20, "A").otherwise("R").alias("l_returnflag"), F.lit("F").alias("l_linestatus")).write.parquet(f"{tmp_path}/lineitem.parquet")
     assert [tuple(r) for r in extract_by_key(spark, str(tmp_path)).collect()] == [(0, "l_returnflag=R|l_linestatus=F", 5_000_001), (1, None, 0), (2, "l_returnflag=A|l_linestatus=F", 20)]
+
+
+def test_first_pair_of_any_size(spark, flowers, tmp_path):
+    """The example's key, and pairs by position larger than the driver takes."""
+    from divrec.plans.recombination import first_pair
+
+    div = divide(flowers, "kind")
+    assert div.example_key() == div.kv_example().key == "kind=ash" and ddf(flowers.limit(0)).example_key() is None
+    orders = spark.range(5_000_021).select(F.when(F.col("id") < 20, "2").otherwise("1").alias("o_orderpriority"), F.lit(1.0).alias("o_totalprice"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    large, small = ("o_orderpriority=1", 5_000_001, True), ("o_orderpriority=2", 20, True)
+    assert [tuple(r) for r in first_pair(spark, str(tmp_path)).collect()] == [(0, *large), (1, *large), (2, *small), (3, *small), (4, None, 0, True)]
